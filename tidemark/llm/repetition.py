@@ -22,9 +22,8 @@ SYMBOLS = "#*$%&|<>"
 #: The verdict's limits; reviewed by people, so plain numbers. A repeat counts from MIN_REPEAT words.
 MIN_REPEAT = 4
 MAX_COVERED = 0.35
-#: The longest repeat may be so large a part of the text, or so many words.
+#: The longest repeat may be so large a part of the text; repeats below MIN_REPEAT words don't count.
 MAX_LONGEST = 0.2
-MAX_LONGEST_WORDS = 100
 
 SCHEMA = (
     "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
@@ -94,7 +93,7 @@ def judge(text: str | None) -> tuple:
     base_failed = n < 20 or 100 * repeat_words > 30 * n
     share = covered(longest, MIN_REPEAT) / n if n else 0.0
     top = int(longest.max()) if n else 0
-    kept = not base_failed and share <= MAX_COVERED and not (top > MAX_LONGEST * n and top > MIN_REPEAT) and top <= MAX_LONGEST_WORDS
+    kept = not base_failed and share <= MAX_COVERED and top <= max(MIN_REPEAT, MAX_LONGEST * n)
     return n, word_chars, n_symbols, len(lines) - len(set(lines)), repeat_words, base_failed, kept, share, top
 
 
