@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,7 @@ SCHEMA = (
     "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
     "base_failed boolean, kept boolean, covered_fraction double, longest_repeat bigint"
 )
+NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
 def longest_repeats(ids: np.ndarray) -> np.ndarray:
@@ -105,14 +107,14 @@ def repetition_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     empty table gives no rows.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_fraction", "longest_repeat"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = pd.DataFrame([judge(t) for t in batch["text"]], columns=names)
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
-            yield out
+            judged = [judge(t.as_py()) for t in batch.column(1)]
+            columns = [pa.array(c) for c in zip(*judged, strict=True)]
+            if judged:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], NAMES)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
 
 
 def keep_unrepetitive(docs: DataFrame) -> DataFrame:
