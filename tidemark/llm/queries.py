@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, extract, mixing, repetition
+from tidemark.llm import bpe, extract, mixing, repetition, topk
 from tidemark.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op4_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op5_norm_sorted_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(table(spark, sf_dir, "embeddings"))
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -28,8 +32,8 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_suffix_repetition, op4_tag_path_text, op8_bpe_round_trip, op10_mix_sources)}
+    return {f.__name__: f for f in (op3_suffix_repetition, op4_tag_path_text, op5_norm_sorted_top, op8_bpe_round_trip, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mix_sources": mixing.SQL}
+    return {"op5_norm_sorted_top": topk.SQL, "op10_mix_sources": mixing.SQL}
