@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, extract, mixing, repetition, topk
+from tidemark.llm import bpe, extract, mixing, repetition, topk, warc
 from tidemark.llm.common import table
 
 
@@ -27,13 +27,17 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_suffix_repetition, op4_tag_path_text, op5_norm_sorted_top, op8_bpe_round_trip, op10_mix_sources)}
+    return {f.__name__: f for f in (op3_suffix_repetition, op4_tag_path_text, op5_norm_sorted_top, op8_bpe_round_trip, op9_warc_chunks, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_norm_sorted_top": topk.SQL, "op10_mix_sources": mixing.SQL}
+    return {"op5_norm_sorted_top": topk.SQL, "op9_warc_chunks": warc.SQL, "op10_mix_sources": mixing.SQL}
