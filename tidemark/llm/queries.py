@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, extract, mixing, repetition, topk, warc
+from tidemark.llm import bpe, extract, mixing, quality, repetition, topk, toxicity, warc
 from tidemark.llm.common import table
 
 
+def op2_nb_support_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,10 @@ def op5_norm_sorted_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_products(table(spark, sf_dir, "embeddings"))
 
 
+def op7_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -36,7 +44,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_suffix_repetition, op4_tag_path_text, op5_norm_sorted_top, op8_bpe_round_trip, op9_warc_chunks, op10_mix_sources)}
+    return {f.__name__: f for f in (op2_nb_support_vectors, op3_suffix_repetition, op4_tag_path_text, op5_norm_sorted_top, op7_convolutional_toxicity, op8_bpe_round_trip, op9_warc_chunks, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
