@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -18,6 +18,7 @@ import pyarrow as pa
 import regex
 import tiktoken
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,39 +44,64 @@ def token_bytes(path: str) -> dict[int, bytes]:
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """The rows dealt to blocks of about BLOCK_BYTES, and the number of blocks."""
+    """The texts dealt to blocks of about BLOCK_BYTES, and the number of blocks.
+
+    A row holds the texts that one batch of the scan has for a block, compressed together: block, doc_ids, sizes, texts.
+    """
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     count = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // BLOCK_BYTES))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("int")).repartition(count, "block"), count
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("int"))
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            own, ids, texts = batch.column(2).to_numpy(), batch.column(0), batch.column(1).cast(pa.binary())
+            order = np.argsort(own, kind="stable")
+            starts = np.flatnonzero(np.diff(own[order], prepend=-1))
+            for at in np.split(order, starts[1:]) if len(order) else []:
+                raw = texts.take(pa.array(at)).to_pylist()
+                sizes = np.fromiter(map(len, raw), "<u4", len(raw)).tobytes()
+                columns = [pa.array([own[at[0]]], pa.int32()), pa.array([ids.take(pa.array(at)).to_pylist()], pa.list_(pa.int64())), pa.array([sizes]), pa.array([packer.compress(b"".join(raw))])]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "sizes", "texts"])
+
+    return rows.mapInArrow(pack, "block int, doc_ids array<bigint>, sizes binary, texts binary").repartition(count, "block"), count
 
-def by_bucket(texts: Iterator[str], pattern: str, buckets: int) -> list[list[str]]:
-    """The distinct pre-tokens of the texts, sorted, in the hash buckets of their bytes."""
-    find, seen = regex.compile(pattern).findall, set()
-    for text in texts:
-        seen.update(find(text))
-    found: list[list[str]] = [[] for _ in range(buckets)]
-    for word in sorted(seen):
-        found[xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % buckets].append(word)
-    return found
+
+def split(raw: bytes, sizes: bytes) -> Iterator[bytes]:
+    start = 0
+    for end in np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64)).tolist():
+        yield raw[start:end]
+        start = end
 
 
 def texts_of(table: pa.Table) -> Iterator[str]:
-    for batch in table.to_batches():
-        for value in batch.column("text"):
-            yield value.as_py()
+    unpacker = zstandard.ZstdDecompressor()
+    for sizes, raw in zip(table.column("sizes"), table.column("texts"), strict=True):
+        for text in split(unpacker.decompress(raw.as_py()), sizes.as_py()):
+            yield text.decode("utf-8", "surrogatepass")
+
+
+def by_bucket(words: Iterable[str], buckets: int) -> list[list[str]]:
+    """Distinct pre-tokens, sorted, in the hash buckets of their bytes."""
+    found: list[list[str]] = [[] for _ in range(buckets)]
+    for word in sorted(words):
+        found[xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % buckets].append(word)
+    return found
 
 
 def word_rows(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
     """(block, bucket, sizes, words): a block's distinct words of a bucket, packed."""
 
     def run(table: pa.Table) -> pa.Table:
-        block, rows = table.column("block")[0].as_py(), []
-        for bucket, words in enumerate(by_bucket(texts_of(table), pattern, buckets)):
+        block, rows, packer = table.column("block")[0].as_py(), [], zstandard.ZstdCompressor(level=3)
+        find, seen = regex.compile(pattern).findall, set()
+        for text in texts_of(table):
+            seen.update(find(text))
+        for bucket, words in enumerate(by_bucket(seen, buckets)):
             if words:
-                raw = [w.encode() for w in words]
-                rows.append((block, bucket, np.fromiter(map(len, raw), "<u4", len(raw)).tobytes(), b"".join(raw)))
+                raw = [w.encode("utf-8", "surrogatepass") for w in words]
+                rows.append((block, bucket, np.fromiter(map(len, raw), "<u4", len(raw)).tobytes(), packer.compress(b"".join(raw))))
         names, kinds = ("block", "bucket", "sizes", "words"), (pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 4, kinds, strict=True)], names=list(names))
 
@@ -87,24 +113,29 @@ def encoded_rows(words: DataFrame, path: str, pattern: str, buckets: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, known = encoding(path, pattern)._encode_single_piece, {}
+        packer, unpacker = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
         for batch in batches:
             for block, bucket, sizes, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                ends, start, counts, out = np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64)).tolist(), 0, [], []
-                for end in ends:
-                    word, start = raw[start:end], end
+                out = []
+                for word in split(unpacker.decompress(raw), sizes):
                     if (ids := known.get(word)) is None:
-                        ids = known[word] = np.array(encode(word), "<u4")
-                    counts.append(len(ids))
+                        ids = known[word] = np.array(encode(word), "<u4").tobytes()
                     out.append(ids)
-                ids = np.concatenate(out)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block], pa.int32()), pa.array([bucket], pa.int32()), pa.array([np.array(counts, "<u4").tobytes()]), pa.array([ids.astype("<u2" if ids.max() < 1 << 16 else "<u4").tobytes()])],
-                    ["block", "bucket", "counts", "ids"],
-                )
+                counts = np.fromiter(map(len, out), "<u4", len(out)) >> 2
+                columns = [pa.array([block], pa.int32()), pa.array([bucket], pa.int32()), pa.array([packer.compress(counts.tobytes())]), pa.array([packer.compress(b"".join(out))])]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "bucket", "counts", "ids"])
 
     return words.repartition(buckets, "bucket").mapInArrow(run, "block int, bucket int, counts binary, ids binary")
 
 
+class Numbers(dict):
+    """Numbers words in the order in which they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row for each document: doc_id, n_tokens, ids_sha256, decoded_sha256, and ids (array) if keep_ids.
 
@@ -119,23 +150,26 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, id_col: str =
     kinds = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32()))] * keep_ids
 
     def run(texts: pa.Table, coded: pa.Table) -> pa.Table:
-        pieces: dict[str, bytes] = {}
-        found = by_bucket(texts_of(texts), pattern, buckets) if len(texts) else []
-        for bucket, counts, raw in zip(*(coded.column(c).to_pylist() for c in ("bucket", "counts", "ids")), strict=True):
-            sizes = np.frombuffer(counts, "<u4").astype(np.int64)
-            wide = np.frombuffer(raw, "<u2" if len(raw) == 2 * sizes.sum() else "<u4").astype("<u4").tobytes()
-            start = 0
-            for word, end in zip(found[bucket], (4 * np.cumsum(sizes)).tolist(), strict=True):
-                pieces[word], start = wide[start:end], end
-        del found
-        find, table, rows = regex.compile(pattern).findall, token_bytes(path), []
+        find, numbers, places = regex.compile(pattern).findall, Numbers(), []
         for text in texts_of(texts):
-            own = b"".join(map(pieces.__getitem__, find(text)))
-            numbers = np.frombuffer(own, "<u4")
-            decoded = hashlib.sha256(b"".join(map(table.__getitem__, numbers.tolist()))).hexdigest()
-            rows.append((len(numbers), hashlib.sha256(own).hexdigest(), decoded) + ((numbers.astype(np.int32),) if keep_ids else ()))
-        columns = [texts.column("doc_id").combine_chunks().cast(pa.int64()), *(list(c) for c in (zip(*rows) if rows else [()] * (len(kinds) - 1)))]
-        return pa.table([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
+            words = find(text)
+            places.append(np.fromiter(map(numbers.__getitem__, words), "<u4", len(words)))
+        found, unpacker = by_bucket(numbers, buckets), zstandard.ZstdDecompressor()
+        pieces: list[bytes] = [b""] * len(numbers)
+        for bucket, counts, raw in zip(*(coded.column(c).to_pylist() for c in ("bucket", "counts", "ids")), strict=True):
+            sizes = np.frombuffer(unpacker.decompress(counts), "<u4") * 4
+            for word, ids in zip(found[bucket], split(unpacker.decompress(raw), sizes.astype("<u4").tobytes()), strict=True):
+                pieces[numbers[word]] = ids
+        del found, numbers
+        table, rows = token_bytes(path), []
+        for place in places:
+            own = b"".join(map(pieces.__getitem__, place.tolist()))
+            ids = np.frombuffer(own, "<u4")
+            decoded = hashlib.sha256(b"".join(map(table.__getitem__, ids.tolist()))).hexdigest()
+            rows.append((len(ids), hashlib.sha256(own).hexdigest(), decoded) + ((ids.astype(np.int32),) if keep_ids else ()))
+        doc_ids = [x for row in texts.column("doc_ids").to_pylist() for x in row]
+        columns = [doc_ids, *(zip(*rows, strict=True) if rows else [()] * (len(kinds) - 1))]
+        return pa.table([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return dealt.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(run, schema)
