@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, extract, mixing, quality, repetition, topk, toxicity, warc
+from tidemark.llm import bpe, extract, mixing, near, quality, repetition, topk, toxicity, warc
 from tidemark.llm.common import table
 
 
+def op1_combination_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_nb_support_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,7 +48,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_nb_support_vectors, op3_suffix_repetition, op4_tag_path_text, op5_norm_sorted_top, op7_convolutional_toxicity, op8_bpe_round_trip, op9_warc_chunks, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_combination_prefix_join, op2_nb_support_vectors, op3_suffix_repetition, op4_tag_path_text, op5_norm_sorted_top, op7_convolutional_toxicity, op8_bpe_round_trip, op9_warc_chunks, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
