@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, extract, mixing, near, quality, repetition, topk, toxicity, warc
+from tidemark.llm import bpe, extract, mixing, near, pii, quality, repetition, topk, toxicity, warc
 from tidemark.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op5_norm_sorted_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_products(table(spark, sf_dir, "embeddings"))
 
 
+def op6_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op7_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,7 +52,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_combination_prefix_join, op2_nb_support_vectors, op3_suffix_repetition, op4_tag_path_text, op5_norm_sorted_top, op7_convolutional_toxicity, op8_bpe_round_trip, op9_warc_chunks, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_combination_prefix_join, op2_nb_support_vectors, op3_suffix_repetition, op4_tag_path_text, op5_norm_sorted_top, op6_weak_supervision_pii, op7_convolutional_toxicity, op8_bpe_round_trip, op9_warc_chunks, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
