@@ -428,7 +428,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id is the smallest of their component, all columns as they were; a repeated row once."""
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(found.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id"))).drop("kept_id")
-    return kept.dropDuplicates(["doc_id"])
+    """The documents whose doc_id is the smallest of their component, all columns as they were.
+
+    Of rows that repeat a doc_id one stays. A row without an id can't be named as a copy: it stays, equal ones once.
+    """
+    named = docs.where(F.col("doc_id").isNotNull())
+    found = near_duplicates(named).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = named.join(found, F.col("doc_id") == F.col("kept_id")).drop("kept_id").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates())
