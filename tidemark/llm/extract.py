@@ -82,7 +82,8 @@ def unwanted(name: str, attributes: dict[str, str], inside: bool) -> bool:
         return True
     if name in ("html", "body", "main") or name == "article" and not re.search("comment|reply", attributes.get("class", "") + attributes.get("id", ""), re.I):
         return False
-    words = set(WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attributes.get('class', '')} {attributes.get('id', '')}").lower()))
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+    words = {*WORDS.findall(names.lower()), *WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower())}
     return bool(words & DROPPED_WORDS) or not inside and bool(words & HEADER_WORDS)
 
 

@@ -59,7 +59,7 @@ def mix_sources(
     cap: float = 2.0,
     carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One row for each document: doc_id, size, source_size, target, taken, and the columns of `carry`.
+    """One row for each document: doc_id, size, source_size, target, taken, and with `carry` the struct carried of those columns.
 
     taken is the words that the mix takes of the document, repeats counted: the source's documents in key order are
     taken whole until the budget, floor(target), is reached; the document at the cut gives the rest of its budget. A
@@ -97,7 +97,7 @@ def mix_sources(
         (F.least("size", F.greatest(F.lit(0), budget - F.col("source_size") * epoch - F.col("before"))) for epoch in range(int(-(-cap // 1)))),
         F.lit(0),
     )
-    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col(f"carried.{c}").alias(c) for c in carry if c != id_col])
+    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col("carried")] * bool(carry))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -105,18 +105,16 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     The document at a source's cut is shortened after the last word that is taken, and its n_chars follows.
     """
-    columns = docs.columns
-    took = mix_sources(docs, carry=columns, **options)
+    took = mix_sources(docs, carry=docs.columns, **options)
     pieces = F.filter(
         F.transform(F.sequence(F.lit(0), F.lit(1)), lambda e: F.least("size", F.greatest(F.lit(0), F.col("taken") - F.col("size") * e))),
         lambda n: n > 0,
     )
-    start = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.col("piece").cast("int")), "")
-    text = F.when(F.col("piece") < F.col("size"), start).otherwise(F.col("text"))
-    rows = took.withColumn("piece", F.explode(pieces)).withColumn("text", text)
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*columns)
+    whole = F.col("carried.text")
+    start = F.array_join(F.slice(F.regexp_extract_all(whole, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.col("piece").cast("int")), "")
+    rows = took.withColumn("piece", F.explode(pieces)).withColumn("cut", F.when(F.col("piece") < F.col("size"), start).otherwise(whole))
+    own = {"text": F.col("cut"), "n_chars": F.length("cut").cast("long")}
+    return rows.select(*[own[c].alias(c) if c in own else F.col("carried")[c].alias(c) for c in docs.columns])
 
 
 SQL = r"""

@@ -434,5 +434,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     named = docs.where(F.col("doc_id").isNotNull())
     found = near_duplicates(named).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = named.join(found, F.col("doc_id") == F.col("kept_id")).drop("kept_id").dropDuplicates(["doc_id"])
+    kept = named.join(found, named["doc_id"] == found["kept_id"], "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates())

@@ -120,9 +120,9 @@ def votes(kind: Column, value: Column, before: Column, after: Column) -> Column:
 CANDIDATE = "array<struct<kind: string, start: int, end: int, base: boolean, votes: string, size: int>>"
 
 
-def candidates(docs: DataFrame, text_col: str, carry: Sequence[Column]) -> DataFrame:
-    """The carried columns, text, and found: the candidate spans of each text, by kind as listed and start."""
-    rows = docs.select(*carry, F.coalesce(F.col(text_col), F.lit("")).alias("pii_text"))
+def candidates(docs: DataFrame, text_col: str, carry: Sequence[str | Column]) -> DataFrame:
+    """carried (a struct of columns), pii_text, and found: the candidate spans of each text, by kind as listed and start."""
+    rows = docs.select(F.struct(*carry).alias("carried"), F.coalesce(F.col(text_col), F.lit("")).alias("pii_text"))
     text = F.col("pii_text")
     rows = rows.withColumns({
         f"m_{k}": F.when(text.rlike(HINTS[k]), F.regexp_extract_all(text, F.lit(p), F.lit(0))) if k in HINTS else F.regexp_extract_all(text, F.lit(p), F.lit(0)) for k, p in PATTERNS.items()
@@ -250,17 +250,17 @@ def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     order of KINDS and then start. An added span never overlaps a base one. A null or empty text has no spans; repeated
     rows each give a row; a null id stays null. An empty table gives no rows and other columns are ignored.
     """
-    found = candidates(docs, text_col, [F.col(id_col).cast("long").alias("doc_id")]).drop("pii_text")
+    found = candidates(docs, text_col, [id_col]).drop("pii_text")
     found = stored(found, "pii-candidates")
     base = F.filter("found", lambda s: s["base"])
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(accepted(classifier(found))).alias("spans"))
+    return found.select(F.col("carried")[id_col].cast("long").alias("doc_id"), *[count(k) for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(accepted(classifier(found))).alias("spans"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """The documents with each span of personal data replaced by its kind in capitals and brackets; n_chars follows."""
     columns = docs.columns
-    found = stored(candidates(docs, "text", [F.col(c) for c in columns if c != "text"]), "pii-candidates")
+    found = stored(candidates(docs, "text", [c for c in columns if c != "text"] or [F.lit(0).alias("none")]), "pii-candidates")
     text = F.col("pii_text")
     ordered = F.array_sort(F.transform(accepted(classifier(found)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     cut = F.aggregate(
@@ -270,7 +270,6 @@ def redacted(docs: DataFrame) -> DataFrame:
         ),
     )
     rows = found.withColumn("cut", F.when(F.size("found") > 0, cut))
-    rows = rows.withColumn("text", F.when(F.size("found") > 0, F.concat(F.array_join("cut.out", ""), F.substring(text, F.col("cut.at") + 1, F.length(text)))).otherwise(text))
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*columns)
+    rows = rows.withColumn("clean", F.when(F.size("found") > 0, F.concat(F.array_join("cut.out", ""), F.substring(text, F.col("cut.at") + 1, F.length(text)))).otherwise(text))
+    own = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
+    return rows.select(*[own[c].alias(c) if c in own else F.col("carried")[c].alias(c) for c in columns])
