@@ -38,8 +38,8 @@ SHINGLE = 5
 PERCENT = 80
 #: Nodes that have a token of class 2 and of class 3, at least.
 FREQUENT, VERY_FREQUENT = 64, 4096
-#: Tokens in a block of texts and in a bucket of the count.
-BLOCK_TOKENS, BUCKET_TOKENS = 4 << 20, 1 << 21
+#: Bytes of text behind a block of texts and behind a bucket of the count.
+BLOCK_BYTES, BUCKET_BYTES = 24 << 20, 16 << 20
 #: Members of a list that are held together.
 LIST_PART = 4096
 #: Pairs that the first pass over unresolved lists tries between two components of a list.
@@ -103,39 +103,39 @@ def expanded(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
 
 
-def members(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, node) of each row of (doc_id, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for batch in batches:
-            sets = [shingles(words_in(t.as_buffer().to_pybytes() if t.is_valid else b""), hashes) for t in batch.column(1).cast(pa.binary())]
-            columns = [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(node_of, sets), pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node"])
-
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, node binary")
-
-
 def block_rows(docs: DataFrame, blocks: int) -> DataFrame:
-    """(block, nodes, sizes, texts): the sets of four tokens or more, each once for each task, packed by block."""
+    """(block, nodes, sizes, texts, doc_ids, counts, of): the rows of (doc_id, text), packed by block.
+
+    nodes, sizes and texts hold the sets of four tokens or more, dealt by node, each once for each task; doc_ids, counts
+    and of hold each row's id, number of tokens and node, dealt by id, so that copies don't gather in one block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen, packer = Hashes(), set(), zstandard.ZstdCompressor(level=3)
         for batch in batches:
             held: dict[int, list[tuple[bytes, bytes]]] = {}
-            for value in batch.column(1).cast(pa.binary()):
+            rows: dict[int, list[tuple[int | None, int, bytes]]] = {}
+            for turn, (doc_id, value) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True)):
                 words = words_in(value.as_buffer().to_pybytes()) if value.is_valid else []
                 tokens = shingles(words, hashes)
-                if len(tokens) < 4 or (node := node_of(tokens)) in seen:
-                    continue
-                seen.add(node)
-                held.setdefault(int.from_bytes(node[:8], "little") % blocks, []).append((node, b" ".join(words)))
-            for block, rows in held.items():
-                sizes = np.fromiter((len(t) for _, t in rows), "<u4", len(rows)).tobytes()
-                columns = [pa.array([block], pa.int32()), pa.array([b"".join(n for n, _ in rows)]), pa.array([sizes]), pa.array([packer.compress(b"".join(t for _, t in rows))])]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "nodes", "sizes", "texts"])
-
-    return docs.mapInArrow(run, "block int, nodes binary, sizes binary, texts binary").repartition(blocks, "block")
+                node = node_of(tokens)
+                rows.setdefault((turn if doc_id is None else doc_id) % blocks, []).append((doc_id, len(tokens), node))
+                if len(tokens) >= 4 and node not in seen:
+                    seen.add(node)
+                    held.setdefault(int.from_bytes(node[:8], "little") % blocks, []).append((node, b" ".join(words)))
+            for block in held.keys() | rows.keys():
+                own, named = held.get(block, []), rows.get(block, [])
+                sizes = np.fromiter((len(t) for _, t in own), "<u4", len(own)).tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([block], pa.int32()), pa.array([b"".join(n for n, _ in own)]), pa.array([sizes]), pa.array([packer.compress(b"".join(t for _, t in own))]),
+                        pa.array([[i for i, _, _ in named]], pa.list_(pa.int64())), pa.array([[n for _, n, _ in named]], pa.list_(pa.int64())), pa.array([b"".join(x for *_, x in named)]),
+                    ],
+                    ["block", "nodes", "sizes", "texts", "doc_ids", "counts", "of"],
+                )
+
+    schema = "block int, nodes binary, sizes binary, texts binary, doc_ids array<bigint>, counts array<bigint>, of binary"
+    return docs.mapInArrow(run, schema).repartition(blocks, "block")
 
 
 def sets_of(table: pa.Table) -> tuple[list[bytes], list[bytes], list[np.ndarray]]:
@@ -156,7 +156,7 @@ def token_rows(dealt: DataFrame, bits: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         block, rows = table.column("block")[0].as_py(), []
         _, _, sets = sets_of(table)
-        tokens, counts = np.unique(np.concatenate(sets) >> np.uint64(32 - bits), return_counts=True)
+        tokens, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]) >> np.uint64(32 - bits), return_counts=True)
         edges = np.searchsorted(tokens, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32))
         for bucket in range(1 << bits):
             own, times = tokens[edges[bucket] : edges[bucket + 1]].astype(np.uint32), counts[edges[bucket] : edges[bucket + 1]]
@@ -239,14 +239,23 @@ def parity(tokens: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
 
-INDEX = "sig bigint, ref bigint, node binary, n bigint, bitmap binary, text binary"
+INDEX = "sig bigint, ref bigint, doc_id bigint, node binary, n bigint, bitmap binary, text binary"
 
 
 def index_rows(dealt: DataFrame, classes: DataFrame, bits: int) -> DataFrame:
-    """Index entries (sig, ref), and for each indexed node a row without sig: ref, node, n, bitmap, text."""
+    """Three kinds of rows: index entries (sig, ref); for each indexed node ref, node, n, bitmap, text; and for each
+    document, without sig and ref, its doc_id, n and node."""
 
     def run(table: pa.Table, coded: pa.Table) -> pa.Table:
-        columns: list[list] = [[], [], [], [], [], []]
+        columns: list[list] = [[] for _ in range(7)]
+
+        def add(*rows: tuple) -> None:
+            for column, values in zip(columns, zip(*rows, strict=True), strict=True):
+                column.extend(values)
+
+        for ids, counts, of in zip(*(table.column(c).to_pylist() for c in ("doc_ids", "counts", "of")), strict=True):
+            if ids:
+                add(*((None, None, i, of[16 * k : 16 * k + 16], n, None, None) for k, (i, n) in enumerate(zip(ids, counts, strict=True))))
         if len(table) and len(coded):
             block = table.column("block")[0].as_py()
             nodes, texts, sets = sets_of(table)
@@ -265,11 +274,9 @@ def index_rows(dealt: DataFrame, classes: DataFrame, bits: int) -> DataFrame:
                 entries = signatures(tokens, np.where(key[at] == short, kind[at], 0))
                 if entries:
                     ref = block << 32 | number
-                    rows = [(np.uint64(x).astype(np.int64).item(), ref, None, None, None, None) for x in entries]
-                    for column, values in zip(columns, zip((None, ref, node, len(tokens), parity(tokens), zstandard.compress(text)), *rows, strict=True), strict=True):
-                        column.extend(values)
-        kinds_out = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds_out, strict=True)], names=["sig", "ref", "node", "n", "bitmap", "text"])
+                    add((None, ref, None, node, len(tokens), parity(tokens), zstandard.compress(text)), *((np.uint64(x).astype(np.int64).item(), ref, *[None] * 5) for x in entries))
+        kinds_out = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds_out, strict=True)], names=["sig", "ref", "doc_id", "node", "n", "bitmap", "text"])
 
     return dealt.groupBy("block").cogroup(classes.groupBy("block")).applyInArrow(run, INDEX)
 
@@ -402,13 +409,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if that has no other id. An empty table gives no rows, and other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    of = stored(members(rows), "members")
-    total = of.agg(F.sum("n")).first()[0] or 0
-    blocks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // BLOCK_TOKENS))
-    bits = min(max(4, (total // BUCKET_TOKENS).bit_length()), max(4, (total // (64 * blocks)).bit_length()), 24)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // BLOCK_BYTES))
+    # as many buckets as keep their tokens bounded, but not so many that a block has less than 64 tokens for each
+    bits = min(max(4, (size // BUCKET_BYTES).bit_length()), max(4, (size // (512 * blocks)).bit_length()), 24)
     dealt = block_rows(rows, blocks)
     index = stored(index_rows(dealt, class_rows(token_rows(dealt, bits)), bits), "index")
-    nodes, entries = index.where("sig IS NULL"), index.where("sig IS NOT NULL")
+    nodes, entries, of = index.where("sig IS NULL AND ref IS NOT NULL"), index.where("sig IS NOT NULL"), index.where("sig IS NULL AND ref IS NULL")
     lists = stored(list_rows(entries), "lists")
     stars = lists.select(F.col("first").alias("a"), F.explode("refs").alias("b")).where("a <> b").distinct()
     edges = stored(verified(stars, nodes), "links")
