@@ -22,8 +22,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import bounded_batches
+
 #: Bytes of text in a block, and the most buckets of distinct words.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 MOST_BUCKETS = 4096
 
 
@@ -144,6 +146,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, id_col: str =
     ids; repeated rows each give a row; a null id stays null. Texts are never cut. An empty table gives no rows, and
     other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     dealt, count = blocks(docs, id_col, text_col)
     buckets = min(count, MOST_BUCKETS)
     ids = encoded_rows(word_rows(dealt, pattern, buckets), path, pattern, buckets)

@@ -39,6 +39,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps the Arrow batches of this session small, unless it has settings of its own: texts differ much in length."""
+    for name, usual, bound in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", "67108864b", "8m")):
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, bound)
+
+
 def word_count(text: Column) -> Column:
     """Words of the text; none for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import bounded_batches
+
 TOKEN = re.compile(
     r"<!--(?P<comment>.*?)(?:-->|\Z)|<(?P<odd>[!?])[^>]*+(?:>|\Z)"
     r"""|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:"[^"]*"|'[^']*'|[^'">])*+(?:>|\Z)|[^>]*+(?:>|\Z))""",
@@ -213,6 +215,8 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     dropped. An empty table gives no rows and other columns are ignored.
     """
 
+    bounded_batches(pages.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(x.as_py()) for x in batch.column(2)]

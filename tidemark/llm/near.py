@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import bounded_batches, stored
 
 SHINGLE = 5
 #: A link: at least this percentage of the union is shared. The bounds below are worked out for 80.
@@ -39,7 +39,7 @@ PERCENT = 80
 #: Nodes that have a token of class 2 and of class 3, at least.
 FREQUENT, VERY_FREQUENT = 64, 4096
 #: Bytes of text behind a block of texts and behind a bucket of the count.
-BLOCK_BYTES, BUCKET_BYTES = 24 << 20, 16 << 20
+BLOCK_BYTES, BUCKET_BYTES = 12 << 20, 16 << 20
 #: Members of a list that are held together.
 LIST_PART = 4096
 #: Pairs that the first pass over unresolved lists tries between two components of a list.
@@ -408,6 +408,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     its own component. Repeated rows each give a row; a null id is larger than any other, so it names a component only
     if that has no other id. An empty table gives no rows, and other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // BLOCK_BYTES))

@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import bounded_batches
 from tidemark.llm.sampling import PER_CLASS, is_held_out, labelled_sample
 
 #: Hashed features of words, then of character classes, then of repetition patterns.
@@ -177,6 +178,7 @@ def score_quality(
     no rows and other columns are ignored.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     model = spark.sparkContext.broadcast(fit(labelled_sample(docs, labels, label, id_col=id_col, text_col=text_col, per_class=per_class)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BLANKS
+from tidemark.llm.common import BLANKS, bounded_batches
 
 SYMBOLS = "#*$%&|<>"
 
@@ -107,6 +107,8 @@ def repetition_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     empty table gives no rows.
     """
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             judged = [judge(t.as_py()) for t in batch.column(1)]
@@ -120,6 +122,8 @@ def repetition_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def keep_unrepetitive(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, all columns as they were."""
 
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf("boolean")
     def kept(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: judge(t)[6]).astype(bool)

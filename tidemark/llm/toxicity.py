@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import bounded_batches
 from tidemark.llm.sampling import PER_CLASS, is_held_out, labelled_sample
 
 WORDS = re.compile(r"\w+")
@@ -252,6 +253,7 @@ def score_toxicity(
     null. Without labels of both classes every score is 0.5. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     net = spark.sparkContext.broadcast(fit(labelled_sample(docs, labels, label, id_col=id_col, text_col=text_col, per_class=per_class)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import scratch, stored
+from tidemark.llm.common import bounded_batches, scratch, stored
 
 #: Bytes of payload in a chunk row, and of an archive in one read.
 CHUNK = 256 << 10
@@ -243,6 +243,7 @@ def archive_pages(
     ignored. folder: where the archives go, a URI that all executors reach; by default one in the shared folder.
     """
     spark = pages.sparkSession
+    bounded_batches(spark)
     folder = folder or scratch(spark, "warc")
     listed = write_archives(chunk_rows(decided(pages, id_col, url_col, html_col, least), chunk), folder)
     return read_records(listed.repartition(max(1, listed.count()), "path"), folder, chunk)
