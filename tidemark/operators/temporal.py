@@ -81,8 +81,8 @@ def asof_join(
         both = both.withColumn("_bucket", F.floor(F.datediff(F.to_date("_time"), F.lit(date(1970, 1, 1))) / bucket_days))
         inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         both = both.withColumn("_found", F.last("_right", ignorenulls=True).over(inside))
-        edge = F.min_by if forward else F.max_by
-        ends = both.groupBy(*by, "_bucket").agg(edge("_right", F.struct("_right._t", "_right")).alias("_end"))
+        when = F.col("_right._t").cast("timestamp").cast("double") * (-1 if forward else 1)
+        ends = both.groupBy(*by, "_bucket").agg(F.max_by("_right", F.when(F.col("_right").isNotNull(), F.struct(when.alias("t"), F.col("_right").alias("r")))).alias("_end"))
         walk = Window.partitionBy(*by).orderBy(turn("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
         carried = ends.withColumn("_carried", F.last("_end", ignorenulls=True).over(walk)).drop("_end")
         keys = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, "_bucket")]
