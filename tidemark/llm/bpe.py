@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches
+from tidemark.llm.common import bounded_batches, release
 
 #: Bytes of text in a block, and the most buckets of distinct words.
 BLOCK_BYTES = 12 << 20
@@ -104,6 +104,8 @@ def word_rows(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
             if words:
                 raw = [w.encode("utf-8", "surrogatepass") for w in words]
                 rows.append((block, bucket, np.fromiter(map(len, raw), "<u4", len(raw)).tobytes(), packer.compress(b"".join(raw))))
+        del seen
+        release()
         names, kinds = ("block", "bucket", "sizes", "words"), (pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 4, kinds, strict=True)], names=list(names))
 
@@ -170,6 +172,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, id_col: str =
             ids = np.frombuffer(own, "<u4")
             decoded = hashlib.sha256(b"".join(map(table.__getitem__, ids.tolist()))).hexdigest()
             rows.append((len(ids), hashlib.sha256(own).hexdigest(), decoded) + ((ids.astype(np.int32),) if keep_ids else ()))
+        del pieces, places, table
+        release()
         doc_ids = [x for row in texts.column("doc_ids").to_pylist() for x in row]
         columns = [doc_ids, *(zip(*rows, strict=True) if rows else [()] * (len(kinds) - 1))]
         return pa.table([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])

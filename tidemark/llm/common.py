@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import ship
+
 #: A word, everywhere in this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The white space that ends a word.
@@ -40,13 +45,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keeps the Arrow batches of this session small, unless it has settings of its own: texts differ much in length."""
+    """Readies a session for Python functions: sends them the package, and keeps Arrow batches small unless the session
+    has settings of its own, as texts differ much in length."""
+    ship(spark)
     for name, usual, bound in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", "67108864b", "8m")):
         key = f"spark.sql.execution.arrow.{name}"
         if spark.conf.get(key, usual) == usual:
             spark.conf.set(key, bound)
 
 
+def release() -> None:
+    """Gives a worker's freed memory back to the machine: workers wait for more tasks, and their memory counts meanwhile."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to ask for
+        pass
+
+
 def word_count(text: Column) -> Column:
     """Words of the text; none for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, stored
+from tidemark.llm.common import bounded_batches, release, stored
 
 SHINGLE = 5
 #: A link: at least this percentage of the union is shared. The bounds below are worked out for 80.
@@ -44,7 +44,7 @@ BLOCK_BYTES, BUCKET_BYTES = 12 << 20, 16 << 20
 LIST_PART = 4096
 #: Pairs that the first pass over unresolved lists tries between two components of a list.
 FIRST_TRIES = 8
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -162,6 +162,8 @@ def token_rows(dealt: DataFrame, bits: int) -> DataFrame:
             own, times = tokens[edges[bucket] : edges[bucket + 1]].astype(np.uint32), counts[edges[bucket] : edges[bucket + 1]]
             if len(own):
                 rows.append((bucket, block, squeezed(own[times == 1]), squeezed(own[times > 1]), times[times > 1].astype("<u4").tobytes()))
+        del sets, tokens, counts
+        release()
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds, strict=True)], names=["bucket", "block", "once", "more", "counts"])
 
@@ -191,6 +193,8 @@ def class_rows(tokens: DataFrame) -> DataFrame:
             at = shared[cuts[k] : cuts[k + 1]]
             if len(at):
                 rows.append((block, bucket, *(squeezed(value[at[kind[at] == c]]) for c in (1, 2, 3))))
+        del values, times, owners, value, count, owner, order, first, total, kind, shared
+        release()
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds, strict=True)], names=["block", "bucket", "c1", "c2", "c3"])
 
@@ -275,8 +279,12 @@ def index_rows(dealt: DataFrame, classes: DataFrame, bits: int) -> DataFrame:
                 if entries:
                     ref = block << 32 | number
                     add((None, ref, None, node, len(tokens), parity(tokens), zstandard.compress(text)), *((np.uint64(x).astype(np.int64).item(), ref, *[None] * 5) for x in entries))
+            del nodes, texts, sets, known, kinds, key, kind, order
         kinds_out = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds_out, strict=True)], names=["sig", "ref", "doc_id", "node", "n", "bitmap", "text"])
+        made = pa.table([pa.array(c, k) for c, k in zip(columns, kinds_out, strict=True)], names=["sig", "ref", "doc_id", "node", "n", "bitmap", "text"])
+        del columns
+        release()
+        return made
 
     return dealt.groupBy("block").cogroup(classes.groupBy("block")).applyInArrow(run, INDEX)
 

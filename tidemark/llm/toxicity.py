@@ -27,8 +27,9 @@ ROW_BITS, SIZE, FILTERS, WIDTHS = 18, 8, 8, (1, 2, 3)
 #: Beginnings of a word that have rows of their own, besides the whole word.
 STEMS = (4, 5, 6)
 EPOCHS, BATCH, RATE, CLEAN_WEIGHT = 5, 32, 0.1, 2.0
-#: Rows seen in fewer texts of the sample stay zero: a word that is new or was met by chance says nothing.
-SEEN = 3
+#: Rows seen in fewer texts of the sample, or whose texts' labels are nearer to chance than so many standard deviations,
+#: stay zero: a word that is new or was met by chance says nothing.
+SEEN, DEVIATIONS = 3, 5
 #: Words that are remembered with their rows, and the words and texts that are scored at once.
 REMEMBERED, AT_ONCE, TEXTS_AT_ONCE = 1 << 18, 1 << 17, 512
 
@@ -75,13 +76,15 @@ class Texts:
 
     def __init__(self, texts: list[list[str]], rows: Rows) -> None:
         numbers: dict[str, int] = {}
-        pads, parts, starts, at = [0] * (max(WIDTHS) - 1), [], [], 0
+        pads, parts, starts, at, counted = [0] * (max(WIDTHS) - 1), [], [], 0, []
         for words in texts:
             own = [numbers.setdefault(w, len(numbers) + 1) for w in words] or [0]
             starts.append(at)
             parts.append(np.array(own + pads, np.int64))
+            counted.append(np.arange(len(own) + len(pads)) < len(own))
             at += len(own) + len(pads)
         self.starts = np.array(starts)
+        self.counted = np.concatenate(counted)  # where a filter may start: on padding it would reach into the next text
         self.words = np.concatenate(parts)
         self.table = np.array([(0,) * (len(STEMS) + 1), *(rows[w] for w in numbers)], np.int64)
 
@@ -96,7 +99,7 @@ def pooled(net: Net, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         total = spread[0]
         for o in range(1, width):
             total = total[: len(total) - 1] + spread[o][o:]
-        # the last start of a text that counts is its last word; starts on padding see only padding, or the end
+        total = np.where(texts.counted[: len(total), None], total, -np.inf)
         values.append(np.maximum.reduceat(total, texts.starts, axis=0))
     return np.concatenate(values, axis=1) + net.offsets, embedded
 
@@ -116,7 +119,8 @@ def started(texts: list[list[str]], labels: np.ndarray, rows: Rows) -> Net:
     odds = np.log((counts[1] + pull * rate) / (n[1] + pull)) - np.log((counts[0] + pull * rate) / (n[0] + pull))
     table = chance.normal(0, 0.05, (1 << ROW_BITS, SIZE))
     table[:, 0] = odds / (len(STEMS) + 1)
-    table[counts.sum(0) < SEEN] = 0
+    seen, share = counts.sum(0), n[1] / n.sum()
+    table[(seen < SEEN) | ((counts[1] - seen * share) ** 2 < DEVIATIONS**2 * seen * share * (1 - share))] = 0
     table[0] = 0
     filters = [chance.normal(0, 0.1, (w, SIZE, FILTERS)) for w in WIDTHS]
     filters[0][0, 0, 0] = 1.0
