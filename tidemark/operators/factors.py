@@ -35,12 +35,12 @@ def transform(name: str) -> Callable[[Callable[..., DataFrame]], Callable[..., D
     return register
 
 
-def window_return(ends: DataFrame, series: DataFrame, months: int, skip: int = 0, proceeds: DataFrame | None = None, value: str = "close") -> DataFrame:
+def window_return(ends: DataFrame, series: DataFrame, months: int, skip: int = 0, proceeds: DataFrame | None = None, value: str = "close", coverage: float = COVERAGE) -> DataFrame:
     """Returns over [end - months, end - skip] for every (security_id, end) of ends, by one ladder of statuses.
 
     Endpoints are bars at most STALE_DAYS old. Without one at the window's end, the proceeds (security_id, event_date,
     proceeds) of a security whose bars have ended stand in; unknown proceeds give delisted_no_proceeds. A window that
-    has bars on less than COVERAGE of its sessions is insufficient, unless proceeds were used.
+    has bars on less than `coverage` of its sessions is insufficient, unless proceeds were used.
     """
     turn = Window.partitionBy("security_id").orderBy("trade_date")
     bars = series.select("security_id", "trade_date", F.col(value).cast("double").alias("v"), F.row_number().over(turn).alias("n"))
@@ -65,7 +65,7 @@ def window_return(ends: DataFrame, series: DataFrame, months: int, skip: int = 0
         F.when(F.col("last_bar").isNull(), NO_DATA).when(F.col("start_bar").isNull(), INSUFFICIENT)
         .when(F.col("_ended") & F.col("proceeds").isNull(), NO_PROCEEDS).when(F.col("finish").isNull(), INSUFFICIENT)
         .when((F.col("start_value") <= 0) | (F.col("finish") <= F.col("start_bar")), INSUFFICIENT)
-        .when(~F.col("used_proceeds") & (F.col("expected") > 0) & (F.col("observed") / F.col("expected") < COVERAGE), INSUFFICIENT).otherwise(OK)
+        .when(~F.col("used_proceeds") & (F.col("expected") > 0) & (F.col("observed") / F.col("expected") < coverage), INSUFFICIENT).otherwise(OK)
     )
     out = found.withColumn("status", status)
     return out.select("security_id", "end", "status", F.when(F.col("status") == OK, F.col("finish_value") / F.col("start_value") - 1).alias("value"), F.array().cast(NOTES).alias("warnings"), "start_bar", F.col("finish").alias("end_bar"), "used_proceeds")

@@ -23,18 +23,24 @@ def month_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("security_id").distinct().crossJoin(F.broadcast(days))
 
 
-def window_sql(months: int, skip: int) -> str:
-    return f"""{ENDS}, n AS (SELECT security_id, trade_date, close, row_number() OVER (PARTITION BY security_id ORDER BY trade_date) AS n FROM bars),
-q AS (SELECT *, ("end" - INTERVAL {months} MONTH)::DATE AS ws, ("end" - INTERVAL {skip} MONTH)::DATE AS we FROM ends),
-a AS (SELECT q.*, CASE WHEN ws - n.trade_date <= 15 THEN n.trade_date END AS sb, n.close AS sv, n.n AS sn FROM q ASOF LEFT JOIN n ON q.security_id = n.security_id AND ws >= n.trade_date),
-b AS (SELECT a.*, CASE WHEN we - n.trade_date <= 15 THEN n.trade_date END AS eb, n.close AS ev, n.n AS en FROM a ASOF LEFT JOIN n ON a.security_id = n.security_id AND we >= n.trade_date),
-c AS (SELECT *, CASE WHEN sb IS NULL OR eb IS NULL OR sv <= 0 OR eb <= sb THEN 'insufficient_data'
-  WHEN (en - sn + 1) / ({WEEKDAYS.format("(eb + 1)")} - {WEEKDAYS.format("sb")}) < 0.6 THEN 'insufficient_data' ELSE 'ok' END AS status FROM b),
-wr AS (SELECT security_id, "end", status, CASE WHEN status = 'ok' THEN ev / sv - 1 END AS value FROM c)"""
+#: The given bars are sparse: a third of the sessions.
+SPARSE = 0.2
+
+
+def window_sql(months: int, skip: int, tag: str = "") -> str:
+    """The tables ends, n and wr<tag>; with a tag only the latter, beside those of an earlier call."""
+    first = f"""{ENDS}, n AS (SELECT security_id, trade_date, close, row_number() OVER (PARTITION BY security_id ORDER BY trade_date) AS n FROM bars)"""
+    return f"""{"" if tag else first},
+q{tag} AS (SELECT *, ("end" - INTERVAL {months} MONTH)::DATE AS ws, ("end" - INTERVAL {skip} MONTH)::DATE AS we FROM ends),
+a{tag} AS (SELECT q.*, CASE WHEN ws - n.trade_date <= 15 THEN n.trade_date END AS sb, n.close AS sv, n.n AS sn FROM q{tag} q ASOF LEFT JOIN n ON q.security_id = n.security_id AND ws >= n.trade_date),
+b{tag} AS (SELECT a.*, CASE WHEN we - n.trade_date <= 15 THEN n.trade_date END AS eb, n.close AS ev, n.n AS en FROM a{tag} a ASOF LEFT JOIN n ON a.security_id = n.security_id AND we >= n.trade_date),
+c{tag} AS (SELECT *, CASE WHEN sb IS NULL OR eb IS NULL OR sv <= 0 OR eb <= sb THEN 'insufficient_data'
+  WHEN (en - sn + 1) / ({WEEKDAYS.format("(eb + 1)")} - {WEEKDAYS.format("sb")}) < {SPARSE} THEN 'insufficient_data' ELSE 'ok' END AS status FROM b{tag}),
+wr{tag} AS (SELECT security_id, "end", status, CASE WHEN status = 'ok' THEN ev / sv - 1 END AS value FROM c{tag})"""
 
 
 def momentum(spark: SparkSession, sf_dir: str, months: int = 12, skip: int = 1) -> DataFrame:
-    return fa.window_return(month_ends(spark, sf_dir), bars(spark, sf_dir), months, skip)
+    return fa.window_return(month_ends(spark, sf_dir), bars(spark, sf_dir), months, skip, coverage=SPARSE)
 
 
 @query(with_tables(BARS) + window_sql(12, 1) + 'SELECT security_id, "end", status, round(value, 9) AS value FROM wr')
@@ -60,7 +66,7 @@ def w7_delisting_proceeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = found.join(proceeds.select("security_id", "event_date"), "security_id", "left").where("event_date IS NULL OR trade_date < event_date").drop("event_date")
     ends = sessions.month_ends(listed.select("trade_date").distinct(), "trade_date").withColumnRenamed("trade_date", "end")
     asked = listed.select("security_id").distinct().crossJoin(F.broadcast(ends))
-    return fa.window_return(asked, listed, 6, 0, proceeds).select("security_id", "end", "status", F.round("value", 9).alias("value"))
+    return fa.window_return(asked, listed, 6, 0, proceeds, coverage=SPARSE).select("security_id", "end", "status", F.round("value", 9).alias("value"))
 
 
 DISPERSION = """, r AS (SELECT security_id, trade_date, close / lag(close) OVER (PARTITION BY security_id ORDER BY trade_date) - 1 AS ret FROM bars),
