@@ -11,6 +11,7 @@ import pytest
 from tidemark.operators import factors, ledger
 from tidemark.operators.prices import adjusted
 
+# The price paths, actions and the ledger that follows from them by hand.
 PATHS = {
     "s1": [(date(2020, 9, 1), 100), (date(2020, 11, 16), 140)], "s2": [(date(2020, 9, 1), 100), (date(2020, 11, 16), 104), (date(2021, 1, 15), 150), (date(2021, 3, 15), 75)],
     "s3": [(date(2020, 9, 1), 100), (date(2020, 11, 16), 103), (date(2021, 2, 12), 130)], "s4": [(date(2020, 9, 1), 200), (date(2020, 11, 16), 204)],

@@ -20,6 +20,10 @@ OK, NO_DATA, INSUFFICIENT, NOT_MEANINGFUL, NO_PROCEEDS = "ok", "no_data", "insuf
 #: Most calendar days between a window's end and the bar that stands for it; least part of its sessions with a bar.
 STALE_DAYS, COVERAGE = 15, 0.6
 NOTES = "array<string>"
+# The notes that rows carry.
+SINGLE, CONSTANT, CLAMPED = "single-member cross-section for ", "constant cross-section for ", "winsorised from "
+NO_SECTOR, NOT_NEUTRAL = "no sector: not neutralised", ": not neutralised"
+MISSING, NEUTRAL, RENORMALISED = "missing ", "neutral for ", "renormalised over "
 TRANSFORMS: dict[str, Callable[..., DataFrame]] = {}
 
 
@@ -134,7 +138,7 @@ def _measured(frame: DataFrame, by: Sequence[str]) -> DataFrame:
 def _standardised(measured: DataFrame, value: Column, label: str, extra: Sequence[str] = ()) -> DataFrame:
     """Replaces ok values; a cross-section of one value, or without spread, is not meaningful."""
     ok = F.col("status") == OK
-    note = F.when(F.col("_n") == 1, F.lit(f"single-member cross-section for {label}")).when(F.col("_hi") == F.col("_lo"), F.lit(f"constant cross-section for {label}"))
+    note = F.when(F.col("_n") == 1, F.lit(SINGLE + label)).when(F.col("_hi") == F.col("_lo"), F.lit(CONSTANT + label))
     status = F.when(ok & note.isNotNull(), NOT_MEANINGFUL).when(ok & value.isNull(), NOT_MEANINGFUL).otherwise(F.col("status"))
     notes = F.when(ok & note.isNotNull(), F.concat("warnings", F.array(note))).otherwise(F.col("warnings"))
     return measured.withColumns({"status": status, "value": F.when(status == OK, value), "warnings": notes}).drop("_x", "_n", "_lo", "_hi", *extra)
@@ -148,7 +152,7 @@ def winsorise(frame: DataFrame, by: Sequence[str] = (), *, lower: float, upper:
     found = _measured(frame, by).withColumn("_p", F.percentile("_x", [lower / 100, upper / 100]).over(_over(by)))
     clamped = F.greatest(F.least("_x", F.col("_p")[1]), F.col("_p")[0])
     moved = (F.col("_n") >= 2) & (F.col("status") == OK) & (clamped != F.col("_x"))
-    notes = F.when(moved, F.concat("warnings", F.array(F.concat(F.lit("winsorised from "), F.format_string("%.6g", "_x"))))).otherwise(F.col("warnings"))
+    notes = F.when(moved, F.concat("warnings", F.array(F.concat(F.lit(CLAMPED), F.format_string("%.6g", "_x"))))).otherwise(F.col("warnings"))
     return found.withColumns({"value": F.when(moved, clamped).otherwise(F.col("value")), "warnings": notes}).drop("_x", "_n", "_lo", "_hi", "_p")
 
 
@@ -183,7 +187,7 @@ def sector_neutralise(frame: DataFrame, by: Sequence[str] = (), *, sector: str =
     """Values less their sector's mean; without a sector, or in one of fewer than `least` values, they pass with a note."""
     group = Window.partitionBy(*by, sector, F.col("status") == OK)
     ok, size = F.col("status") == OK, F.count("value").over(group)
-    note = F.when(F.col(sector).isNull(), F.lit("no sector: not neutralised")).when(F.col("_size") < least, F.concat(F.lit("sector "), F.col(sector).cast("string"), F.lit(" has "), F.col("_size").cast("string"), F.lit(f" < {least}: not neutralised")))
+    note = F.when(F.col(sector).isNull(), F.lit(NO_SECTOR)).when(F.col("_size") < least, F.concat(F.lit("sector "), F.col(sector).cast("string"), F.lit(" has "), F.col("_size").cast("string"), F.lit(f" < {least}{NOT_NEUTRAL}")))
     found = frame.withColumns({"_size": size, "_mean": F.avg("value").over(group)})
     return found.withColumns({
         "value": F.when(ok & note.isNull(), F.col("value") - F.col("_mean")).otherwise(F.col("value")), "warnings": F.when(ok & note.isNotNull(), F.concat("warnings", F.array(note))).otherwise(F.col("warnings")),
@@ -228,7 +232,7 @@ def composite(universe: DataFrame, parts: Mapping[str, DataFrame], components: S
     score = reduce(Column.__add__, [F.lit(float(c.weight)) * F.coalesce(v, F.lit(0.0)) for v, c in zip(values, components, strict=True)])
     frame = frame.withColumns({"_present": present, "_counted": counted, "_lost": lost, "_weight": weight, "_score": score})
     status = F.when((F.size("_lost") > 0) & F.lit(policy == "drop"), NO_DATA).when(F.col("_counted") < (least or len(components)), INSUFFICIENT).when(F.col("_weight") == 0, NOT_MEANINGFUL).otherwise(OK)
-    said = {"drop": F.concat(F.lit("missing "), F.array_join("_lost", ";")), "neutral": F.concat(F.lit("neutral for "), F.array_join("_lost", ";")), "renormalise": F.concat(F.lit("renormalised over "), F.col("_present").cast("string"))}[policy]
+    said = {"drop": F.concat(F.lit(MISSING), F.array_join("_lost", ";")), "neutral": F.concat(F.lit(NEUTRAL), F.array_join("_lost", ";")), "renormalise": F.concat(F.lit(RENORMALISED), F.col("_present").cast("string"))}[policy]
     notes = F.when(F.size("_lost") > 0, F.array(said)).otherwise(F.array().cast(NOTES))
     return frame.withColumn("status", status).select(*keys, "status", F.when(F.col("status") == OK, F.col("_score") / F.nullif(F.col("_weight"), F.lit(0.0))).alias("value"), notes.alias("warnings"))
 
