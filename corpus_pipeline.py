@@ -58,7 +58,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each but the last is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}", waves=8)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -34,6 +34,16 @@ def test_round_trip(spark, least, chunk):
     assert sorted(map(tuple, got), key=str) == expected(least)
 
 
+def test_more_partitions_than_cores(spark):
+    """Every partition's records are in the archives, however many there are."""
+    pages = spark.range(500).selectExpr("id AS page_id", "'u' AS url", "concat('page ', id % 300) AS html").repartition(64)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert warc.archive_pages(pages).count() == 500
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_archives_and_chunk_table(spark, tmp_path):
     folder = f"file://{tmp_path}"
     chunks = warc.chunk_rows(warc.decided(spark.createDataFrame(ROWS, FIELDS), "page_id", "url", "html", 0), 100)

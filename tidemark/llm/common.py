@@ -37,11 +37,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: cuts the lineage and survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, name: str, waves: int = 1) -> DataFrame:
+    """df written to the shared folder and read back: cuts the lineage and survives lost executors.
+
+    It is written by as many tasks as the cluster runs at once, or `waves` times as many: a small table spread over all
+    shuffle partitions would be thousands of small files.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    df.coalesce(max(1, spark.sparkContext.defaultParallelism) * waves).write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bounded_batches(spark: SparkSession) -> None:

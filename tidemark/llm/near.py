@@ -423,7 +423,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # as many buckets as keep their tokens bounded, but not so many that a block has less than 64 tokens for each
     bits = min(max(4, (size // BUCKET_BYTES).bit_length()), max(4, (size // (512 * blocks)).bit_length()), 24)
     dealt = block_rows(rows, blocks)
-    index = stored(index_rows(dealt, class_rows(token_rows(dealt, bits)), bits), "index")
+    index = stored(index_rows(dealt, class_rows(token_rows(dealt, bits)), bits), "index", waves=4)
     nodes, entries, of = index.where("sig IS NULL AND ref IS NOT NULL"), index.where("sig IS NOT NULL"), index.where("sig IS NULL AND ref IS NULL")
     lists = stored(list_rows(entries), "lists")
     stars = lists.select(F.col("first").alias("a"), F.explode("refs").alias("b")).where("a <> b").distinct()

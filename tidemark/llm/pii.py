@@ -251,7 +251,7 @@ def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     rows each give a row; a null id stays null. An empty table gives no rows and other columns are ignored.
     """
     found = candidates(docs, text_col, [id_col]).drop("pii_text")
-    found = stored(found, "pii-candidates")
+    found = stored(found, "pii-candidates", waves=4)
     base = F.filter("found", lambda s: s["base"])
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(F.col("carried")[id_col].cast("long").alias("doc_id"), *[count(k) for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(accepted(classifier(found))).alias("spans"))
@@ -260,7 +260,7 @@ def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 def redacted(docs: DataFrame) -> DataFrame:
     """The documents with each span of personal data replaced by its kind in capitals and brackets; n_chars follows."""
     columns = docs.columns
-    found = stored(candidates(docs, "text", [c for c in columns if c != "text"] or [F.lit(0).alias("none")]), "pii-candidates")
+    found = stored(candidates(docs, "text", [c for c in columns if c != "text"] or [F.lit(0).alias("none")]), "pii-candidates", waves=4)
     text = F.col("pii_text")
     ordered = F.array_sort(F.transform(accepted(classifier(found)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     cut = F.aggregate(

@@ -156,7 +156,7 @@ def top_products(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
-    rows = stored(scaled(vectors, id_col, vector_col, scale), "scaled-vectors")
+    rows = stored(scaled(vectors, id_col, vector_col, scale), "scaled-vectors", waves=4)
     widths = [w for (w,) in rows.select(F.size("x")).distinct().collect()]
     results = [_of_width(rows.where(F.size("x") == w), w, k, every) for w in sorted(widths)]
     if not results:
@@ -191,7 +191,7 @@ def _of_width(rows: DataFrame, width: int, k: int, every: int) -> DataFrame:
                     ["q_block", "q_ids", "q_vectors", "floors"],
                 )
 
-    asked_blocks = stored(queries.mapInArrow(with_floors, "q_block long, q_ids binary, q_vectors binary, floors binary"), "query-floors")
+    asked_blocks = stored(queries.mapInArrow(with_floors, "q_block long, q_ids binary, q_vectors binary, floors binary"), "query-floors", waves=4)
     sorted_rows = rows.repartitionByRange(F.desc("norm"), "vec_id")
     blocks = packed(sorted_rows.sortWithinPartitions(F.desc("norm"), "vec_id"), CANDIDATES)
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, scratch, stored
+from tidemark.llm.common import bounded_batches, scratch
 
 #: Bytes of payload in a chunk row, and of an archive in one read.
 CHUNK = 256 << 10
@@ -99,7 +99,10 @@ def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
             store.move(temporary, final)
             yield pa.RecordBatch.from_arrays([pa.array([f"part-{task.partitionId():05d}.warc.gz"]), pa.array([records], pa.int64())], ["path", "records"])
 
-    return stored(chunks.mapInArrow(run, "path string, records bigint"), "archive-list")
+    # as many archives as the cluster writes at once; the partition of a task names its archive, so none may be merged later
+    spark, listed = chunks.sparkSession, scratch(chunks.sparkSession, "archive-list")
+    chunks.coalesce(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(run, "path string, records bigint").write.parquet(listed)
+    return spark.read.schema("path string, records bigint").parquet(listed)
 
 
 class Unpacked:
