@@ -153,3 +153,29 @@ def filing_lags(df: DataFrame, by: Sequence[str], assumed: dict[str, int]) -> Da
     out = df.where("filed_on IS NOT NULL").groupBy(*by).agg(F.count("*").alias("filings"), *[nearest_rank(lag, p / 100).alias(f"p{p}") for p in (50, 75, 90)], F.max(lag).alias("longest"))
     limit = F.coalesce(*[F.when(F.col("period_type") == k, F.lit(v)) for k, v in assumed.items()])
     return out.withColumn("trigger", F.when(F.col("filings") >= 3, F.col("p90") > limit))
+
+
+def mapping_faults(mapping: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """What is wrong with a mapping table: items mapped twice, canonical items that the taxonomy (canonical, statement)
+    lacks or has in another statement, unknown signs, and exclusions with a target."""
+    twice = mapping.groupBy("provider_item").agg(F.count("*").alias("_n")).where("_n > 1").select("provider_item", F.lit("mapped_twice").alias("fault"))
+    known = mapping.where("canonical IS NOT NULL").join(taxonomy.withColumnRenamed("statement", "_statement"), "canonical", "left")
+    lost = known.where("_statement IS NULL").select("provider_item", F.lit("unknown_canonical").alias("fault"))
+    wrong = known.where("_statement <> statement").select("provider_item", F.lit("other_statement").alias("fault"))
+    sign = mapping.where(~F.col("sign").isin("as_reported", "flip")).select("provider_item", F.lit("unknown_sign").alias("fault"))
+    kept = mapping.where("review_status = 'excluded' AND canonical IS NOT NULL").select("provider_item", F.lit("excluded_with_target").alias("fault"))
+    return twice.unionByName(lost).unionByName(wrong).unionByName(sign).unionByName(kept)
+
+
+def normalisation_summary(mapped: DataFrame, unmapped: DataFrame) -> DataFrame:
+    """Counts of mapped items by canonical and of unmapped ones by reason."""
+    done = mapped.groupBy(F.col("canonical").alias("name")).agg(F.count("*").alias("items")).withColumn("outcome", F.lit("mapped"))
+    left = unmapped.groupBy(F.col("reason").alias("name")).agg(F.count("*").alias("items")).withColumn("outcome", F.lit("unmapped"))
+    return done.unionByName(left)
+
+
+def canonicalised(items: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Provider items with verified mappings as canonical records: sign, imputed availability and its rule."""
+    mapped, _ = normalise(items, mapping.where("review_status = 'verified'"))
+    available, rule = imputed_availability("period_end", "filed_on", "period_type")
+    return mapped.select("security_id", "statement", F.col("canonical").alias("line_item"), "period_end", "period_type", "currency", "value", available.alias("available_on"), rule.isNotNull().alias("availability_imputed"), rule.alias("imputation_rule"))
