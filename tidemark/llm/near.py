@@ -107,7 +107,7 @@ def block_rows(docs: DataFrame, blocks: int) -> DataFrame:
     """(block, nodes, sizes, texts, doc_ids, counts, of): the rows of (doc_id, text), packed by block.
 
     nodes, sizes and texts hold the sets of four tokens or more, dealt by node, each once for each task; doc_ids, counts
-    and of hold each row's id, number of tokens and node, dealt by id, so that copies don't gather in one block.
+    and of hold each row's id, number of tokens and node, dealt in turn, so that neither copies nor repeated ids gather.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +119,7 @@ def block_rows(docs: DataFrame, blocks: int) -> DataFrame:
                 words = words_in(value.as_buffer().to_pybytes()) if value.is_valid else []
                 tokens = shingles(words, hashes)
                 node = node_of(tokens)
-                rows.setdefault((turn if doc_id is None else doc_id) % blocks, []).append((doc_id, len(tokens), node))
+                rows.setdefault(turn % blocks, []).append((doc_id, len(tokens), node))
                 if len(tokens) >= 4 and node not in seen:
                     seen.add(node)
                     held.setdefault(int.from_bytes(node[:8], "little") % blocks, []).append((node, b" ".join(words)))
