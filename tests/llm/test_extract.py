@@ -23,6 +23,13 @@ def test_article_with_broken_markup():
     assert main_text(page) == "Head\n\nOne, two.\n\nThree\n\nfo"
 
 
+def test_names_of_neighbours_and_deep_markup():
+    page = '<body class="no-ads"><div class="layout has-sidebar"><div class="text"><p>Here is the text, long enough.</p><p>More of it, here.</p></div><div class="sidebar"><p>Beside, not text.</p></div></div>'
+    assert main_text(page) == "Here is the text, long enough.\n\nMore of it, here."
+    deep = "<div>" * 60000 + "deep, deep text" + "</span>" * 60000
+    assert main_text(deep) == "deep, deep text"
+
+
 def test_edge_cases(spark):
     rows = [(1, "u", None, 1), (None, None, "", 1), (2, "v", "plain, text", 2), (2, "v", "plain, text", 2), (3, "w", "<p>a < b &lt; c</p><p x", 3), (4, "x", "<div>" * 3000 + "deep, deep text", 4)]
     got = extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string, text bigint")).collect()

@@ -55,6 +55,8 @@ DROPPED_WORDS = frozenset(
     "share sharing social login signin register search form outbrain taboola".split()
 )
 HEADER_WORDS = frozenset("header head topheader pageheader".split())
+#: Beside one of these a name tells what an element lies next to, not what it is: has-sidebar, no-ads.
+BESIDE_WORDS = frozenset("has with no without".split())
 WORDS = re.compile(r"[a-z]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。、！？；，]")
@@ -70,7 +72,7 @@ MOST_LINKED = 0.6
 class Block:
     __slots__ = ("path", "parts", "linked", "inside")
 
-    def __init__(self, path: str, inside: bool) -> None:
+    def __init__(self, path: int, inside: bool) -> None:
         self.path, self.inside, self.parts, self.linked = path, inside, [], 0
 
 
@@ -86,13 +88,17 @@ def unwanted(name: str, attributes: dict[str, str], inside: bool) -> bool:
         return False
     names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
     words = {*WORDS.findall(names.lower()), *WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower())}
+    if words & BESIDE_WORDS:
+        return False
     return bool(words & DROPPED_WORDS) or not inside and bool(words & HEADER_WORDS)
 
 
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order, without unwanted parts."""
     found: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # name, path, inside, dropped
+    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # name, path, inside, dropped
+    paths: dict[tuple[int, str], int] = {}  # a path's number by its parent's and its last label
+    opened: dict[str, int] = defaultdict(int)
     block: Block | None = None
     links, at, length = 0, 0, len(page)
 
@@ -115,6 +121,7 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal links
         for name, *_ in stack[upto:]:
             links -= name == "a"
+            opened[name] -= 1
         del stack[upto:]
 
     while at < length:
@@ -131,6 +138,8 @@ def blocks_of(page: str) -> list[Block]:
         if name in BLOCK:
             block = None
         if match["end"]:
+            if not opened[name]:
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == name:
                     close(k)
@@ -169,8 +178,9 @@ def blocks_of(page: str) -> list[Block]:
         dropped = dropped or unwanted(name, attributes, inside)
         if name in BLOCK:
             label = attributes.get("class") or attributes.get("id") or ""
-            path = f"{path}/{name}" + (f".{label}" if label else "")
+            path = paths.setdefault((path, f"{name}.{label}"), len(paths) + 1)
         links += name == "a"
+        opened[name] += 1
         stack.append((name, path, inside or name in ("article", "main") or attributes.get("role", "").lower() in ("main", "article"), dropped))
     return found
 
@@ -191,14 +201,14 @@ def main_text(page: str | None) -> str:
             texts.append(joined)
     if not blocks:
         return ""
-    total: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(4))
+    total: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(4))
     for b, t in zip(blocks, texts, strict=True):
         total[b.path] += (len(t), len(PUNCTUATION.findall(t)), min(b.linked, len(t)), 1)
     length = smoothed(np.array([total[b.path][0] / total[b.path][3] for b in blocks]))
     marks = smoothed(np.array([total[b.path][1] / total[b.path][3] for b in blocks]))
     unlinked = np.array([1 - total[b.path][2] / max(1, total[b.path][0]) for b in blocks])
     fused = np.sqrt(length * (marks + 0.1)) * unlinked
-    by_path: dict[str, list[float]] = defaultdict(list)
+    by_path: dict[int, list[float]] = defaultdict(list)
     for b, x in zip(blocks, fused, strict=True):
         by_path[b.path].append(float(x))
     limit = min(float(fused.std()) * THRESHOLD, float(fused.max()) * 0.5) or 1e-9
