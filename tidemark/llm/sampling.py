@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 #: Most labelled rows of one class that a classifier is fitted on.
 PER_CLASS = 4000
+#: Most bytes of a text that a classifier is fitted on; longer texts are scored like all others. With PER_CLASS this bounds
+#: what reaches the driver.
+LONGEST = 50_000
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -18,12 +21,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, id_col: s
     """(text, label) of at most `per_class` rows of label 0 and as many of label 1, none of them held out.
 
     The rows with the smallest hashes of their ids are taken, in that order, so a rerun fits on the same rows. Only
-    these ids, at most twice `per_class`, are sent to the documents. Null labels and ids fall out.
+    these ids, at most twice `per_class`, are sent to the documents. Null labels and ids fall out, and so do texts of more
+    than LONGEST bytes. Of rows that repeat an id one text counts, the greatest.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~is_held_out(F.col("doc_id"))).distinct()
     known = known.withColumn("turn", F.xxhash64(F.col("doc_id").cast("string")))
     chosen = known.where(F.col("label") == 0).orderBy("turn", "doc_id").limit(per_class).unionByName(known.where(F.col("label") == 1).orderBy("turn", "doc_id").limit(per_class))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("turn", "label", "text").collect()
-    return [(t, y) for _, y, t in sorted(rows)]
+    rows = texts.where(F.octet_length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id").groupBy("turn", "doc_id", "label").agg(F.max("text").alias("text")).collect()
+    return [(t, y) for _, _, y, t in sorted(rows)]
