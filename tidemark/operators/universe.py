@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,6 +85,9 @@ def member_months(spells: DataFrame, bars: DataFrame, least: int = 15) -> DataFr
 # Words that end company names.
 SUFFIXES = ("plc", "ltd", "limited", "inc", "corp", "corporation", "company", "co", "group", "holdings", "sa", "ag", "nv")
 
+#: Names of a block, names of it that meet a block of candidates at once, and columns that pairs of characters hash to.
+NAME_BLOCK, NAME_ROWS, NAME_BUCKETS = 4096, 256, 512
+
 
 def name_tokens(name: Column) -> Column:
     """Lower-case words of a name without punctuation and company suffixes."""
@@ -99,22 +104,98 @@ def token_jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0))
 
 
+def set_ratio(a: str, b: str) -> float:
+    """Shared over all distinct words of two normalised names."""
+    one, two = set(a.split()), set(b.split())
+    return len(one & two) / len(one | two) if one and two else 0.0
+
+
+def name_counts(names: list[str], split: Callable[[str], Iterable[str]], size: int) -> np.ndarray:
+    """How often each name has the parts that `split` gives, hashed to `size` columns."""
+    found = np.zeros((len(names), size), np.float32)
+    for row, name in zip(found, names, strict=True):
+        for part in split(name):
+            row[zlib.crc32(part.encode()) % size] += 1
+    return found
+
+
+def close_names(left: list[str], right: list[str], least: float) -> Iterator[tuple[str, str, float]]:
+    """(a, b, score) of all pairs with score >= least: the greater of difflib's ratio and the ratio of distinct words.
+
+    Bounds drop most pairs unscored. A ratio of `least` means a common subsequence of least * (m + n) / 2 characters of
+    m and n; a character that one side lacks takes at most two pairs of neighbours from its own name and parts one of
+    the other's, so at least (1.5 * least - 1) * (m + n) - 1 pairs are shared. Products of hashed counts are never below
+    what is shared, so no bound drops a pair that reaches `least`.
+    """
+    size = lambda names: np.array([len(x) for x in names], np.float32)
+    words = lambda x: set(x.split())
+    m, n = size(left), size(right)
+    near = lambda x: (x[k : k + 2] for k in range(len(x) - 1))
+    (pairs_a, words_a, signs_a), (pairs_b, words_b, signs_b) = (
+        (name_counts(x, near, NAME_BUCKETS), name_counts(x, words, NAME_BUCKETS), name_counts(x, str, 64)) for x in (left, right)
+    )
+    count_a, count_b = words_a.sum(1), words_b.sum(1)
+    matcher = difflib.SequenceMatcher(None)
+    for start in range(0, len(left), NAME_ROWS):
+        part = slice(start, start + NAME_ROWS)
+        total = m[part, None] + n[None, :]
+        by_text = pairs_a[part] @ pairs_b.T >= (1.5 * least - 1) * total - 1.001
+        by_words = words_a[part] @ words_b.T >= least / (1 + least) * (count_a[part, None] + count_b[None, :]) - 0.001
+        i, j = np.nonzero(by_text & ~by_words)
+        shared = np.minimum(signs_a[part][i], signs_b[j]).sum(1)
+        by_text[i, j] = 2 * shared >= least * total[i, j] - 0.001
+        last = None
+        for j, i in np.argwhere((by_text | by_words).T):
+            a, b = left[start + i], right[j]
+            if j != last:
+                matcher.set_seq2(b)
+                last = j
+            score = set_ratio(a, b)
+            if 2 * common_length(a, b) >= least * (len(a) + len(b)):
+                matcher.set_seq1(a)
+                score = max(score, matcher.ratio())
+            if score >= least:
+                yield a, b, score
+
+
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, which difflib's matches never exceed."""
+    places: dict[str, int] = {}
+    for k, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    rest = full
+    for c in b:
+        hit = rest & places.get(c, 0)
+        rest = (rest + hit | rest - hit) & full
+    return len(a) - rest.bit_count()
+
+
 def fuzzy_matches(names: DataFrame, candidates: DataFrame, accept: float = 0.90, margin: float = 0.06) -> DataFrame:
     """(name, match, ratio) where a candidate's ratio reaches `accept` and beats the next by `margin`.
 
-    The ratio is that of difflib, which no built-in equals, so it runs in Arrow batches; names meet only the candidates
-    that share a word with them.
+    The ratio is the greater of difflib's, which no built-in equals, and that of distinct words, over normalised names.
+    Every candidate counts, whether or not it shares a word: blocks of names meet blocks of candidates, and only pairs
+    that can't reach `accept` - `margin`, and so neither match nor spoil a match, go unscored. Candidates whose
+    normalised names are equal spoil each other, and with no margin the greatest match is taken; names without words
+    match nothing.
     """
-    left = names.select("name", F.explode(F.array_distinct(name_tokens(F.col("name")))).alias("_w"))
-    right = candidates.select(F.col("name").alias("match"), F.explode(F.array_distinct(name_tokens(F.col("name")))).alias("_w"))
-    pairs = left.join(right, "_w").select("name", "match").distinct().select("name", "match", normalised_name(F.col("name")).alias("a"), normalised_name(F.col("match")).alias("b"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ratio = [difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(batch["a"], batch["b"], strict=True)]
-            yield pd.DataFrame({"name": batch["name"], "match": batch["match"], "ratio": ratio})
-
-    rated = pairs.mapInPandas(run, "name string, match string, ratio double")
-    order = Window.partitionBy("name").orderBy(F.desc("ratio"), "match")
-    ranked = rated.withColumn("_n", F.row_number().over(order)).withColumn("_next", F.coalesce(F.lead("ratio").over(order), F.lit(0.0)))
-    return ranked.where((F.col("_n") == 1) & (F.col("ratio") >= accept) & (F.col("ratio") - F.col("_next") >= margin)).select("name", "match", "ratio")
+    left = names.select("name", normalised_name(F.col("name")).alias("a")).where("a <> ''").distinct()
+    right = candidates.select(F.col("name").alias("match"), normalised_name(F.col("name")).alias("b")).where("b <> ''").distinct()
+    ours, theirs = left.select("a").distinct(), right.select("b").distinct()
+    rows, columns = (max(1, -(-x.count() // NAME_BLOCK)) for x in (ours, theirs))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    block = lambda name, count: F.pmod(F.xxhash64(name), F.lit(count)).cast("int")
+    ours = ours.select("a", block("a", rows).alias("i"), every(columns).alias("j"))
+    theirs = theirs.select("b", block("b", columns).alias("j"), every(rows).alias("i"))
+    least = accept - margin - 1e-9
+
+    def run(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(close_names(list(one["a"]), list(two["b"]), least), columns=["a", "b", "ratio"])
+
+    rated = ours.groupBy("i", "j").cogroup(theirs.groupBy("i", "j")).applyInPandas(run, "a string, b string, ratio double")
+    rated = left.join(rated, "a").join(right, "b").select("name", "match", "ratio")
+    order = Window.partitionBy("name").orderBy(F.desc("ratio"), F.desc("match"))
+    ranked = rated.withColumn("_n", F.row_number().over(order)).withColumn("_next", F.lead("ratio").over(order))
+    alone = F.col("_next").isNull() | (F.col("ratio") - F.col("_next") >= margin)
+    return ranked.where((F.col("_n") == 1) & (F.col("ratio") >= accept) & alone).select("name", "match", "ratio")
