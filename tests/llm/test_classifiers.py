@@ -75,6 +75,25 @@ def test_sample_is_bounded_and_repeatable(tables):
     assert one == two and sorted({y for _, y in one}) == [0, 1] and sum(y for _, y in one) <= 21 and len(one) <= 42
 
 
+def test_a_class_of_long_texts_is_learnt(spark):
+    docs = [(i, ("scum " if i % 2 else "fine ") * (15_000 if i % 2 else 20), None) for i in range(60)]
+    frames = spark.createDataFrame(docs, "doc_id bigint, text string, score string"), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int")
+    assert {y for _, y in sampling.labelled_sample(*frames, "toxic")} == {0, 1}
+
+
+def test_sample_ends_at_its_bytes_whatever_the_lengths(tables):
+    docs, labels, _, _ = tables
+    whole = sampling.labelled_sample(docs, labels, "toxic")
+    for most in (1, 2000, 20_000):
+        got, want, total = sampling.labelled_sample(docs, labels, "toxic", most_bytes=most), [], [0, 0]
+        for text, y in whole:
+            if total[y] < most:
+                want.append((text, y))
+            total[y] += len(text.encode())
+        assert got == want and {y for _, y in got} == {0, 1}
+    assert len(want) < len(whole)
+
+
 def test_coordinate_descent_separates():
     rows = [np.array([0, 2]), np.array([0]), np.array([1, 2]), np.array([1])]
     w, b = quality.descend(rows, np.ones(3), np.array([1.0, 1, -1, -1]), np.full(4, 10.0), 50)

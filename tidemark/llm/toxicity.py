@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_batches
-from tidemark.llm.sampling import PER_CLASS, is_held_out, labelled_sample
+from tidemark.llm.sampling import MOST_BYTES, PER_CLASS, is_held_out, labelled_sample
 
 WORDS = re.compile(r"\w+")
 ROW_BITS, SIZE, FILTERS, WIDTHS = 18, 8, 8, (1, 2, 3)
@@ -248,17 +248,18 @@ def score_texts(net: Net | None, texts: list[str | None], rows: Rows) -> np.ndar
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, per_class: int = PER_CLASS
+    docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, per_class: int = PER_CLASS, most_bytes: int = MOST_BYTES
 ) -> DataFrame:
     """One row for each document: doc_id, held_out, score, predicted.
 
-    The network is fitted on a sample of at most `per_class` labelled rows of each class, none of them held out; every
-    text is then scored whole. A null text is scored as an empty one; repeated rows each give a row; a null id stays
-    null. Without labels of both classes every score is 0.5. An empty table gives no rows; other columns are ignored.
+    The network is fitted on a sample of at most `per_class` labelled rows of each class, which ends once its texts
+    come to `most_bytes`, none of them held out; every text is then scored whole. A null text is scored as an empty
+    one; repeated rows each give a row; a null id stays null. Without labels of both classes every score is 0.5. An
+    empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    net = spark.sparkContext.broadcast(fit(labelled_sample(docs, labels, label, id_col=id_col, text_col=text_col, per_class=per_class)))
+    net = spark.sparkContext.broadcast(fit(labelled_sample(docs, labels, label, id_col=id_col, text_col=text_col, per_class=per_class, most_bytes=most_bytes)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = Rows()
