@@ -24,11 +24,12 @@ def labelled_sample(
     The rows with the smallest hashes of their ids are taken, in that order, so a rerun fits on the same rows. A class
     ends with the text that brings its total to `most_bytes`; whether a text is taken depends on the lengths of those
     before it, not on its own, and a class with texts is never empty. Only the chosen ids, at most twice `per_class`, are
-    sent to the documents: first for the lengths, then for the texts. Null labels and ids fall out. Of rows that repeat
-    an id one text counts, the greatest, and the longest for the total.
+    sent to the documents: first for the lengths, then for the texts. Null labels and ids fall out, and ids that are
+    labelled both 0 and 1. Of rows that repeat an id one text counts, the greatest, and the longest for the total.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label"))
-    known = known.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~is_held_out(F.col("doc_id"))).distinct()
+    known = known.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~is_held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").select("doc_id", "label")
     known = known.withColumn("turn", F.xxhash64(F.col("doc_id").cast("string")))
     chosen = known.where(F.col("label") == 0).orderBy("turn", "doc_id").limit(per_class).unionByName(known.where(F.col("label") == 1).orderBy("turn", "doc_id").limit(per_class))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -2,9 +2,11 @@
 
 A word's embedding is the sum of hashed rows of the word and of its beginnings, so unseen forms of a known stem keep
 its meaning. Filters of several widths slide over the embeddings, each filter's largest value over the whole text is
-pooled, and a linear layer gives the logit. The network is trained by Adagrad on a bounded sample; its thresholds are
-calibrated for each language, which is guessed from the letters of the text alone, and the score is shifted so that a
-language's threshold lies at 0.5.
+pooled, and a linear layer gives the logit. All of it starts at random and is trained by Adagrad on a bounded sample:
+in each epoch half of the words are left out by chance, so that a text can't be learnt by its rarest word, and the
+epoch that does best on a fifth of the sample is kept. That fifth also calibrates the thresholds, one for each
+language, which is guessed from the letters of the text alone; the score is shifted so that a language's threshold
+lies at 0.5.
 """
 
 from __future__ import annotations
@@ -26,10 +28,11 @@ WORDS = re.compile(r"\w+")
 ROW_BITS, SIZE, FILTERS, WIDTHS = 18, 8, 8, (1, 2, 3)
 #: Beginnings of a word that have rows of their own, besides the whole word.
 STEMS = (4, 5, 6)
-EPOCHS, BATCH, RATE, CLEAN_WEIGHT = 5, 32, 0.1, 2.0
-#: Rows seen in fewer texts of the sample, or whose texts' labels are nearer to chance than so many standard deviations,
-#: stay zero: a word that is new or was met by chance says nothing.
-SEEN, DEVIATIONS = 3, 5
+EPOCHS, BATCH, RATE, CLEAN_WEIGHT = 6, 32, 0.1, 2.0
+#: Part of the words that an epoch leaves out, and the pull of embeddings and of filters towards zero.
+LEFT_OUT, ROW_PULL, FILTER_PULL = 0.5, 1e-3, 1e-4
+#: Texts of a class that a language needs among the calibration texts for a threshold of its own; else the common one.
+LEAST_OF_CLASS = 10
 #: Words that are remembered with their rows, and the words and texts that are scored at once.
 REMEMBERED, AT_ONCE, TEXTS_AT_ONCE = 1 << 18, 1 << 17, 512
 
@@ -66,131 +69,156 @@ class Net:
     offsets: np.ndarray
     out: np.ndarray
     bias: float
-    slope: float = 1.0
     thresholds: dict[str, float] = field(default_factory=dict)
     threshold: float = 0.0
 
 
+PADS = [0] * (max(WIDTHS) - 1)
+
+
 class Texts:
-    """Texts as numbers of distinct words, each text followed by as many padding words as the widest filter needs."""
-
-    def __init__(self, texts: list[list[str]], rows: Rows) -> None:
-        numbers: dict[str, int] = {}
-        pads, parts, starts, at, counted = [0] * (max(WIDTHS) - 1), [], [], 0, []
-        for words in texts:
-            own = [numbers.setdefault(w, len(numbers) + 1) for w in words] or [0]
-            starts.append(at)
-            parts.append(np.array(own + pads, np.int64))
-            counted.append(np.arange(len(own) + len(pads)) < len(own))
-            at += len(own) + len(pads)
-        self.starts = np.array(starts)
-        self.counted = np.concatenate(counted)  # where a filter may start: on padding it would reach into the next text
-        self.words = np.concatenate(parts)
-        self.table = np.array([(0,) * (len(STEMS) + 1), *(rows[w] for w in numbers)], np.int64)
-
-
-def pooled(net: Net, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """For each text the largest value of every filter, before the rectifier; and the embeddings of the distinct words."""
-    embedded = net.rows[texts.table].sum(1)
-    embedded[0] = 0
+    """Texts as numbers of words, each followed by as many padding words as the widest filter needs.
+
+    Word 0 is padding, or a word left out: its embedding is zero. table holds the rows of each number's word.
+    """
+
+    def __init__(self, texts: list[np.ndarray], table: np.ndarray, dense: bool = False) -> None:
+        # dense: the texts use most words of the table, so that it is embedded whole
+        parts = [np.append(t, PADS) if len(t) else np.array([0, *PADS]) for t in texts]
+        lengths = np.array([len(p) for p in parts])
+        self.words, self.table, self.dense = np.concatenate(parts).astype(np.int64), table, dense
+        self.starts = np.cumsum(lengths) - lengths
+        self.ends = self.starts + lengths - len(PADS)
+        # where no filter may start: on padding it would reach into the next text
+        self.uncounted = (self.ends[:, None] + np.arange(len(PADS))).ravel()
+
+    @classmethod
+    def of(cls, texts: list[list[str]], rows: Rows) -> Texts:
+        """From lists of words, numbered among themselves."""
+        return cls(*numbered(texts, rows), dense=True)
+
+
+def numbered(texts: list[list[str]], rows: Rows) -> tuple[list[np.ndarray], np.ndarray]:
+    """The texts as numbers of their distinct words, from 1, and the table of the words' rows."""
+    numbers: dict[str, int] = {}
+    found = [np.fromiter((numbers.setdefault(w, len(numbers) + 1) for w in words), np.int64, len(words)) for words in texts]
+    return found, np.array([(0,) * (len(STEMS) + 1), *(rows[w] for w in numbers)], np.int64)
+
+
+@dataclass
+class Pass:
+    """A forward pass: the distinct words, each place's distinct word, their embeddings, all filter values by width, and
+    for each text the largest value of every filter, before the rectifier."""
+
+    distinct: np.ndarray
+    place: np.ndarray
+    embedded: np.ndarray
+    values: list[np.ndarray]
+    tops: np.ndarray
+
+
+def forward(net: Net, texts: Texts) -> Pass:
+    distinct, place = (np.arange(len(texts.table)), texts.words) if texts.dense else np.unique(texts.words, return_inverse=True)
+    embedded = net.rows[texts.table[distinct]].sum(1)
+    embedded[distinct == 0] = 0
     values = []
     for width, weights in zip(WIDTHS, net.filters, strict=True):
-        spread = [(embedded @ weights[o])[texts.words] for o in range(width)]
-        total = spread[0]
+        total = (embedded @ weights[0])[place]
         for o in range(1, width):
-            total = total[: len(total) - 1] + spread[o][o:]
-        total = np.where(texts.counted[: len(total), None], total, -np.inf)
-        values.append(np.maximum.reduceat(total, texts.starts, axis=0))
-    return np.concatenate(values, axis=1) + net.offsets, embedded
+            total = total[: len(total) - 1] + (embedded @ weights[o])[place][o:]
+        total[texts.uncounted[texts.uncounted < len(total)]] = -np.inf
+        values.append(total)
+    tops = np.concatenate([np.maximum.reduceat(v, texts.starts, axis=0) for v in values], axis=1) + net.offsets
+    return Pass(distinct, place, embedded, values, tops)
 
 
 def logits(net: Net, texts: Texts) -> np.ndarray:
-    return np.maximum(pooled(net, texts)[0], 0) @ net.out + net.bias
-
-
-def started(texts: list[list[str]], labels: np.ndarray, rows: Rows) -> Net:
-    """A network whose first embedding component is the smoothed log odds of a row, and else random."""
-    chance = np.random.default_rng(11)
-    counts = np.zeros((2, 1 << ROW_BITS))
-    for words, y in zip(texts, labels, strict=True):
-        counts[int(y)][np.unique(np.array([rows[w] for w in set(words)], np.int64))] += 1
-    n = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
-    rate, pull = (counts.sum(0) + 0.02) / n.sum(), 8.0
-    odds = np.log((counts[1] + pull * rate) / (n[1] + pull)) - np.log((counts[0] + pull * rate) / (n[0] + pull))
-    table = chance.normal(0, 0.05, (1 << ROW_BITS, SIZE))
-    table[:, 0] = odds / (len(STEMS) + 1)
-    seen, share = counts.sum(0), n[1] / n.sum()
-    table[(seen < SEEN) | ((counts[1] - seen * share) ** 2 < DEVIATIONS**2 * seen * share * (1 - share))] = 0
-    table[0] = 0
-    filters = [chance.normal(0, 0.1, (w, SIZE, FILTERS)) for w in WIDTHS]
-    filters[0][0, 0, 0] = 1.0
-    out = chance.normal(0, 0.1, FILTERS * len(WIDTHS))
-    out[0] = 1.0
-    return Net(table, filters, np.zeros(FILTERS * len(WIDTHS)), out, -1.0)
-
-
-def train(net: Net, texts: list[list[str]], labels: np.ndarray, rows: Rows) -> None:
+    return np.maximum(forward(net, texts).tops, 0) @ net.out + net.bias
+
+
+def started() -> Net:
+    """A network with random embeddings, filters and output weights."""
+    chance = np.random.default_rng(3)
+    table = chance.normal(0, 0.1, (1 << ROW_BITS, SIZE))
+    filters = [chance.normal(0, 0.5 / w**0.5, (w, SIZE, FILTERS)) for w in WIDTHS]
+    return Net(table, filters, np.zeros(FILTERS * len(WIDTHS)), chance.normal(0, 0.3, FILTERS * len(WIDTHS)), -1.0)
+
+
+class Steps:
     """Adagrad on the logistic loss, classes weighted alike; gradients reach only the words that won the pooling."""
-    alive = net.rows.any(1)
-    turns = np.random.default_rng(13)
-    weight = 0.5 / np.maximum(np.array([np.mean(labels == v) for v in (0, 1)]), 1e-9)
-    past = {k: np.full_like(v, 1e-2) for k, v in (("rows", net.rows), ("out", net.out), ("offsets", net.offsets))}
-    past_filters, past_bias = [np.full_like(f, 1e-2) for f in net.filters], 1e-2
+
+    def __init__(self, net: Net, labels: np.ndarray) -> None:
+        self.net = net
+        self.weight = 0.5 / np.maximum(np.array([np.mean(labels == v) for v in (0, 1)]), 1e-9)
+        self.rows, self.bias = np.full_like(net.rows, 1e-2), 1e-2
+        self.flat = {name: np.full_like(getattr(net, name), 1e-2) for name in ("out", "offsets")}
+        self.filters = [np.full_like(f, 1e-2) for f in net.filters]
+
+    def take(self, batch: Texts, y: np.ndarray) -> None:
+        net, seen = self.net, forward(self.net, batch)
+        lifted = np.maximum(seen.tops, 0)
+        p = 1 / (1 + np.exp(-np.clip(lifted @ net.out + net.bias, -30, 30)))
+        error = (p - y) * self.weight[y.astype(int)] / len(y)
+        back = np.outer(error, net.out) * (seen.tops > 0)
+        moved = np.zeros_like(seen.embedded)
+        for k, (width, weights) in enumerate(zip(WIDTHS, net.filters, strict=True)):
+            won = np.array([a + seen.values[k][a:b].argmax(0) for a, b in zip(batch.starts, batch.ends, strict=True)])
+            own, change = back[:, k * FILTERS : (k + 1) * FILTERS], FILTER_PULL * weights
+            for o in range(width):
+                words = seen.place[np.minimum(won + o, len(seen.place) - 1)]
+                change[o] += np.einsum("nfs,nf->sf", seen.embedded[words], own)
+                np.add.at(moved, words, own[:, :, None] * weights[o].T[None])
+            self.filters[k] += change**2
+            weights -= RATE * change / np.sqrt(self.filters[k])
+        for name, change in (("out", lifted.T @ error + 1e-4 * net.out), ("offsets", back.sum(0))):
+            self.flat[name] += change**2
+            getattr(net, name)[...] -= RATE * change / np.sqrt(self.flat[name])
+        self.bias += error.sum() ** 2
+        net.bias -= RATE * float(error.sum()) / self.bias**0.5
+        hit = np.flatnonzero((np.abs(moved).sum(1) > 0) & (seen.distinct > 0))
+        if len(hit):
+            at, inverse = np.unique(batch.table[seen.distinct[hit]].ravel(), return_inverse=True)
+            change = ROW_PULL * net.rows[at]
+            np.add.at(change, inverse, np.repeat(moved[hit], len(STEMS) + 1, 0))
+            self.rows[at] += change**2
+            net.rows[at] -= RATE * change / np.sqrt(self.rows[at])
+
+
+def in_parts(net: Net, texts: list[np.ndarray], table: np.ndarray) -> np.ndarray:
+    return np.concatenate([logits(net, Texts(texts[k : k + 64], table)) for k in range(0, len(texts), 64)])
+
+
+def train(texts: list[np.ndarray], table: np.ndarray, labels: np.ndarray, checked: np.ndarray) -> tuple[Net, np.ndarray]:
+    """The network of the epoch that tells the checked texts apart best, and their logits; all are checked if none is left out."""
+    net, chance = started(), np.random.default_rng(13)
+    use = np.flatnonzero(~checked) if checked.any() else np.arange(len(texts))
+    held = np.flatnonzero(checked) if checked.any() else use
+    steps, best = Steps(net, labels[use]), None
     for _ in range(EPOCHS):
-        order = turns.permutation(len(texts))
+        order = chance.permutation(use)
         for start in range(0, len(order), BATCH):
             chosen = order[start : start + BATCH]
-            batch = Texts([texts[i] for i in chosen], rows)
-            embedded = net.rows[batch.table].sum(1)
-            embedded[0] = 0
-            ends = np.append(batch.starts[1:], len(batch.words))
-            tops, wins = [], []
-            for width, weights in zip(WIDTHS, net.filters, strict=True):
-                total = (embedded @ weights[0])[batch.words]
-                for o in range(1, width):
-                    total = total[: len(total) - 1] + (embedded @ weights[o])[batch.words][o:]
-                won = np.array([a + total[a : max(a + 1, b - max(WIDTHS) + 1)].argmax(0) for a, b in zip(batch.starts, ends, strict=True)])
-                wins.append(won)
-                tops.append(np.take_along_axis(total, won, 0))
-            top = np.concatenate(tops, 1) + net.offsets
-            lifted = np.maximum(top, 0)
-            y = labels[chosen]
-            p = 1 / (1 + np.exp(-np.clip(lifted @ net.out + net.bias, -30, 30)))
-            error = (p - y) * weight[y.astype(int)] / len(chosen)
-            back = np.outer(error, net.out) * (top > 0)
-            changes = {"out": lifted.T @ error + 1e-4 * net.out, "offsets": back.sum(0)}
-            moved = np.zeros_like(embedded)
-            for k, (width, weights) in enumerate(zip(WIDTHS, net.filters, strict=True)):
-                own, change = back[:, k * FILTERS : (k + 1) * FILTERS], np.zeros_like(weights)
-                for o in range(width):
-                    words = batch.words[np.minimum(wins[k] + o, len(batch.words) - 1)]
-                    change[o] = np.einsum("nfs,nf->sf", embedded[words], own)
-                    np.add.at(moved, words, own[:, :, None] * weights[o].T[None])
-                past_filters[k] += change**2
-                weights -= RATE * change / np.sqrt(past_filters[k])
-            for name, change in changes.items():
-                past[name] += change**2
-                getattr(net, name)[...] -= RATE * change / np.sqrt(past[name])
-            past_bias += error.sum() ** 2
-            net.bias -= RATE * float(error.sum()) / past_bias**0.5
-            hit = np.flatnonzero(np.abs(moved[1:]).sum(1)) + 1
-            if len(hit):
-                at, change = batch.table[hit].ravel(), np.repeat(moved[hit], len(STEMS) + 1, 0)
-                uniq, inverse = np.unique(at, return_inverse=True)
-                summed = np.zeros((len(uniq), SIZE))
-                np.add.at(summed, inverse, change)
-                past["rows"][uniq] += summed**2
-                net.rows[uniq] -= RATE * summed / np.sqrt(past["rows"][uniq]) * alive[uniq, None]
+            some = [np.where(chance.random(len(texts[i])) < LEFT_OUT, 0, texts[i]) for i in chosen]
+            steps.take(Texts(some, table), labels[chosen])
+        z = in_parts(net, [texts[i] for i in held], table)
+        right = rightness(z, labels[held])[0].max()
+        if best is None or right > best[0]:
+            best = right, Net(net.rows.astype(np.float32), [f.astype(np.float32) for f in net.filters], net.offsets.copy(), net.out.copy(), net.bias), z
+    return best[1], best[2]
 
 
-def best_threshold(z: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the gap of logits at which most is right; clean texts weigh CLEAN_WEIGHT times as much."""
+def rightness(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How much is right with a threshold in each gap of the sorted logits, clean texts weighing CLEAN_WEIGHT times as much; the gaps' middles."""
     order = np.argsort(z)
     z, y = z[order], y[order]
     right = CLEAN_WEIGHT * np.append(0, np.cumsum(y == 0)) / max(1, (y == 0).sum()) + (y == 1).sum() / max(1, (y == 1).sum()) - np.append(0, np.cumsum(y == 1)) / max(1, (y == 1).sum())
-    edges = np.concatenate([[z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]])
-    best = np.flatnonzero(right >= right.max() - 1e-12)
-    return float(edges[best].mean())
+    return right, np.concatenate([[z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]])
+
+
+def best_threshold(z: np.ndarray, y: np.ndarray) -> float:
+    """The middle of the gap of logits at which most is right."""
+    right, middles = rightness(z, y)
+    return float(middles[right >= right.max() - 1e-12].mean())
 
 
 def fit(sample: list[tuple[str, int]]) -> Net | None:
@@ -198,24 +226,19 @@ def fit(sample: list[tuple[str, int]]) -> Net | None:
     labels = np.array([y for _, y in sample], float)
     if not len(labels) or labels.min() == labels.max():
         return None
-    rows, lowered = Rows(), [t.lower() for t, _ in sample]
-    texts = [WORDS.findall(t) for t in lowered]
+    lowered = [t.lower() for t, _ in sample]
+    texts, table = numbered([WORDS.findall(t) for t in lowered], Rows())
     checked = np.arange(len(texts)) % 5 == 4
     if len(np.unique(labels[checked])) < 2 or len(np.unique(labels[~checked])) < 2:
-        checked = np.zeros(len(texts), bool)
-    use = np.flatnonzero(~checked)
-    net = started([texts[i] for i in use], labels[use], rows)
-    train(net, [texts[i] for i in use], labels[use], rows)
-    held = np.flatnonzero(checked) if checked.any() else use
-    z = np.concatenate([logits(net, Texts([texts[i] for i in held[k : k + 64]], rows)) for k in range(0, len(held), 64)])
+        checked[:] = False
+    net, z = train(texts, table, labels, checked)
+    held = np.flatnonzero(checked) if checked.any() else np.arange(len(texts))
     y, langs = labels[held], np.array([language(lowered[i]) for i in held])
     net.threshold = best_threshold(z, y)
     for lang in np.unique(langs):
         own = langs == lang
-        if min((y[own] == 0).sum(), (y[own] == 1).sum()) >= 10:
+        if min((y[own] == 0).sum(), (y[own] == 1).sum()) >= LEAST_OF_CLASS:
             net.thresholds[str(lang)] = best_threshold(z[own], y[own])
-    net.rows = net.rows.astype(np.float32)
-    net.filters = [f.astype(np.float32) for f in net.filters]
     return net
 
 
@@ -229,7 +252,7 @@ def score_texts(net: Net | None, texts: list[str | None], rows: Rows) -> np.ndar
     def flush() -> None:
         nonlocal size
         if held:
-            out.append(logits(net, Texts(held, rows)))
+            out.append(logits(net, Texts.of(held, rows)))
             held.clear()
             size = 0
             if len(rows) > REMEMBERED:
@@ -244,7 +267,7 @@ def score_texts(net: Net | None, texts: list[str | None], rows: Rows) -> np.ndar
     flush()
     z = np.concatenate(out) if out else np.empty(0)
     shift = np.array([net.thresholds.get(language(t), net.threshold) for t in lowered])
-    return 1 / (1 + np.exp(-np.clip(net.slope * (z - shift), -30, 30))) if len(z) else z
+    return 1 / (1 + np.exp(-np.clip(z - shift, -30, 30))) if len(z) else z
 
 
 def score_toxicity(
