@@ -1,14 +1,16 @@
 """Operator 4: main text of a web page by tag-path ratios.
 
 A page is read once into text blocks, each with its root-to-leaf path of tags (with the class or id of an element). For
-each path the text length and the punctuation of all its blocks are added up and divided by their number; the two
-ratios of a block's path are smoothed along the page, fused, and compared with a threshold that follows the page's own
-spread. Paths above it are content. Parts that are never main text (menus, forms, adverts, comments and the like) are
-recognised by element, role, class or id before the ratios are taken.
+each path the text length and the punctuation of all its blocks are added up and divided by their number. The two ratios
+of a block's path are smoothed along the page and fused, less so the more of the path's text lies in links; a path is
+content if the mean of its blocks reaches a threshold that follows the page's own spread. Text inside article or main
+needs far less than text outside of them. Parts that a page itself names as headers, footers, sidebars, notices,
+adverts, forms or comments are left out before the ratios are taken; menus have no list of names, the ratios find them.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections import defaultdict
@@ -30,7 +32,9 @@ ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?=[\s=/>]|\Z
 
 # Fixed values of HTML: elements without an end, those whose content is raw text, and those that set text apart.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object xmp noembed noframes".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+#: Raw elements that end with the page if nothing else ends them; of others without an end only the tag is markup.
+CODE = frozenset("script style".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search "
@@ -42,19 +46,15 @@ ENDED = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
 
-# What is never main text.
-DROPPED = frozenset("nav aside form button select menu dialog canvas audio video map datalist output search fieldset footer".split())
-DROPPED_ROLES = frozenset("navigation banner complementary contentinfo search dialog alertdialog alert form menu menubar toolbar tablist".split())
+# Elements, roles and names of what is never main text.
+DROPPED = frozenset("aside form button select dialog canvas audio video datalist output search fieldset footer svg object noscript template".split())
+DROPPED_ROLES = frozenset("banner complementary contentinfo search dialog alertdialog alert form".split())
 DROPPED_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising advertorial adsense banner banners sponsor sponsored promo promos promotion "
-    "nav navbar navigation menu menus topbar toolbar breadcrumb breadcrumbs pagination pager skip toc "
-    "sidebar sidebars aside widget widgets rail related recommended recommendations trending popular "
-    "footer foot colophon copyright masthead siteheader "
-    "cookie cookies consent gdpr notice notices disclaimer popup modal overlay lightbox toast alert newsletter subscribe subscription signup paywall "
-    "comment comments commentlist disqus reply replies respond discussion "
-    "share sharing social login signin register search form outbrain taboola".split()
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner "
+    "sidebar sidebars footer masthead cookie cookies consent gdpr notice notices popup modal newsletter subscribe signup paywall "
+    "comment comments commentlist disqus reply replies login signin share sharing".split()
 )
-HEADER_WORDS = frozenset("header head topheader pageheader".split())
+HEADER_WORDS = frozenset("header topheader pageheader".split())
 #: Beside one of these a name tells what an element lies next to, not what it is: has-sidebar, no-ads.
 BESIDE_WORDS = frozenset("has with no without".split())
 WORDS = re.compile(r"[a-z]+")
@@ -63,10 +63,15 @@ PUNCTUATION = re.compile(r"[.,;:!?…。、！？；，]")
 
 #: Blocks on each side that smoothing looks at.
 REACH = 1
-#: A path's fused ratio must reach this part of the page's deviation; inside article or main far less will do.
-THRESHOLD, INSIDE = 0.6, 0.02
-#: A block outside article and main with more of its text in links isn't content.
-MOST_LINKED = 0.6
+#: Text length and punctuation of a block at which half of the way to the largest ratio is reached; the ratio of none.
+LENGTH_HALF, MARKS_HALF, NO_MARKS = 100.0, 1.0, 0.05
+#: What is left of the fused ratio of a path whose text is all in links.
+LINKED_LEFT = 0.05
+#: The threshold: so many standard deviations of the page's ratios, within these parts of its largest one, but not less
+#: than the last figure.
+DEVIATIONS, LEAST_PART, MOST_PART, FLOOR = 0.6, 0.1, 0.5, 0.02
+#: Weights of a ratio inside article or main, and outside of them on a page that has one.
+INSIDE, OUTSIDE = 50.0, 0.25
 
 
 class Block:
@@ -86,10 +91,12 @@ def unwanted(name: str, attributes: dict[str, str], inside: bool) -> bool:
         return True
     if name in ("html", "body", "main") or name == "article" and not re.search("comment|reply", attributes.get("class", "") + attributes.get("id", ""), re.I):
         return False
-    names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    words = {*WORDS.findall(names.lower()), *WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower())}
-    if words & BESIDE_WORDS:
-        return False
+    words: set[str] = set()
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        parts = WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+        if not BESIDE_WORDS.intersection(parts):
+            # the first word or the last one tells what it is: cookie-notice, article-comments, but not long-form-text
+            words.update(parts[:1], parts[-1:], WORDS.findall(name.lower()) if "-" not in name and "_" not in name else ())
     return bool(words & DROPPED_WORDS) or not inside and bool(words & HEADER_WORDS)
 
 
@@ -99,6 +106,7 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # name, path, inside, dropped
     paths: dict[tuple[int, str], int] = {}  # a path's number by its parent's and its last label
     opened: dict[str, int] = defaultdict(int)
+    ends_of: dict[str, list[int]] = {}  # where the end tags of a raw element end
     block: Block | None = None
     links, at, length = 0, 0, len(page)
 
@@ -154,8 +162,11 @@ def blocks_of(page: str) -> list[Block]:
         if name in VOID:
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*+(?:>|\Z)", re.I).search(page, at) if not match["rest"].endswith("/>") else None
-            at = end.end() if end else at if match["rest"].endswith("/>") else length
+            if not match["rest"].endswith("/>"):
+                if name not in ends_of:
+                    ends_of[name] = [m.end() for m in re.finditer(rf"</{re.escape(name)}(?=[\s/>])[^>]*+(?:>|\Z)", page, re.I)]
+                later = bisect.bisect_right(ends_of[name], at)
+                at = ends_of[name][later] if later < len(ends_of[name]) else length if name in CODE else at
             continue
         if name in BLOCK:
             for k in range(len(stack) - 1, 0, -1):
@@ -192,6 +203,28 @@ def smoothed(values: np.ndarray) -> np.ndarray:
     return above / np.convolve(np.ones(len(values)), weights, "full")[REACH:][: len(values)]
 
 
+def fused(blocks: list[Block], texts: list[str]) -> np.ndarray:
+    """The ratio of each block, from 0 to 1: its path's text length and punctuation, smoothed, fused, cut by the share of links."""
+    total: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(4))
+    for b, t in zip(blocks, texts, strict=True):
+        total[b.path] += (len(t), len(PUNCTUATION.findall(t)), min(b.linked, len(t)), 1)
+    linked = np.array([total[b.path][2] / total[b.path][0] for b in blocks])
+    # text in links doesn't gain by its neighbours: a short menu stays short beside long paragraphs
+    length, marks = (smoothed(own) * (1 - linked) + own * linked for own in (np.array([total[b.path][k] / total[b.path][3] for b in blocks]) for k in (0, 1)))
+    return np.sqrt(length / (length + LENGTH_HALF) * (marks + NO_MARKS) / (marks + MARKS_HALF)) * (1 - (1 - LINKED_LEFT) * linked)
+
+
+def content(blocks: list[Block], ratios: np.ndarray) -> list[bool]:
+    """Whether each block is main text: the mean of its path's weighted ratios reaches the threshold."""
+    top = float(ratios.max())
+    limit = max(min(max(DEVIATIONS * float(ratios.std()), LEAST_PART * top), MOST_PART * top), FLOOR)
+    within, by_path = any(b.inside for b in blocks), defaultdict(list)
+    for b, x in zip(blocks, ratios, strict=True):
+        by_path[b.path].append(float(x) * (INSIDE if b.inside else OUTSIDE if within else 1.0))
+    chosen = {path: float(np.mean(values)) >= limit for path, values in by_path.items()}
+    return [chosen[b.path] for b in blocks]
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page; empty if it has none."""
     blocks, texts = [], []
@@ -201,20 +234,7 @@ def main_text(page: str | None) -> str:
             texts.append(joined)
     if not blocks:
         return ""
-    total: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(4))
-    for b, t in zip(blocks, texts, strict=True):
-        total[b.path] += (len(t), len(PUNCTUATION.findall(t)), min(b.linked, len(t)), 1)
-    length = smoothed(np.array([total[b.path][0] / total[b.path][3] for b in blocks]))
-    marks = smoothed(np.array([total[b.path][1] / total[b.path][3] for b in blocks]))
-    unlinked = np.array([1 - total[b.path][2] / max(1, total[b.path][0]) for b in blocks])
-    fused = np.sqrt(length * (marks + 0.1)) * unlinked
-    by_path: dict[int, list[float]] = defaultdict(list)
-    for b, x in zip(blocks, fused, strict=True):
-        by_path[b.path].append(float(x))
-    limit = min(float(fused.std()) * THRESHOLD, float(fused.max()) * 0.5) or 1e-9
-    within = any(b.inside for b in blocks)
-    chosen = {b.path: (m := float(np.mean(by_path[b.path]))) >= limit * (INSIDE if b.inside else 1) and (b.inside or not within or m >= 2 * limit) for b in blocks}
-    return "\n\n".join(t for b, t in zip(blocks, texts, strict=True) if chosen[b.path] and (b.inside or b.linked <= MOST_LINKED * len(t)))
+    return "\n\n".join(t for t, good in zip(texts, content(blocks, fused(blocks, texts)), strict=True) if good)
 
 
 def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
