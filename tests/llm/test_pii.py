@@ -62,5 +62,51 @@ def test_estimation_tells_reliable_votes():
 def test_redaction_and_empty(spark):
     docs = spark.createDataFrame([(1, "é call +1 (555) 010-9999 now", 9, "x"), (2, None, 0, "y"), (3, "plain", 5, "z")], "doc_id bigint, text string, n_chars bigint, carried string")
     got = {r.doc_id: (r.text, r.n_chars, r.carried) for r in pii.redacted(docs).collect()}
-    assert got == {1: ("é call [PHONE] now", 18, "x"), 2: ("", 0, "y"), 3: ("plain", 5, "z")}
+    assert got == {1: ("é call [PHONE] now", 18, "x"), 2: (None, 0, "y"), 3: ("plain", 5, "z")}
     assert pii.personal_data(docs.limit(0)).collect() == []
+
+
+def planted(seed: int, count: int) -> tuple[list[tuple[int, str]], dict[int, set[str]], dict[int, set[str]]]:
+    """Prose with personal data, and with look-alikes that aren't: digests of commits, long numbers, names of things."""
+    import random
+
+    chance, docs, good, bad = random.Random(seed), [], {}, {}
+    word = lambda: "".join(chance.choice(["an", "the", "or", "in", "st", "re"]) for _ in range(chance.randrange(1, 4)))
+    hexes = lambda n: "".join(chance.choice("0123456789abcdef") for _ in range(n - 8)) + "0a1b2c3d"
+    number = lambda n: "".join(chance.choice("123456789") for _ in range(n))
+    makers = [
+        ("secret", True, lambda: ('token = "', hexes(40), '"')), ("secret", True, lambda: ("password: ", "Xy9aB7cQ" + "".join(chance.choice("abcXYZ789") for _ in range(16)), "")),
+        ("secret", False, lambda: ("build ", "release-notes-for-" + word() + "-2024", "")), ("secret", False, lambda: ("part ", "chapter_" + word() + "_section_" + str(chance.randrange(99)), "")),
+        ("account", True, lambda: ("konto ", "4" + number(15), "")), ("account", False, lambda: ("isbn ", "978" + number(7), "")), ("account", False, lambda: ("part ", "9" + number(10), "")),
+        ("name", True, lambda: ("Mr. ", "James Holloway", "")), ("name", True, lambda: ("Name: ", "Petra Lindner", "")), ("name", False, lambda: ("in the ", "North Harbour", "")),
+        ("name", False, lambda: ("of ", "Winter Sale", "")), ("name", False, lambda: ("under the ", "General Terms", "")), ("local_phone", True, lambda: ("call ", "(555) 010-9999", "")),
+    ]
+    for i in range(count):
+        text = " ".join(word() for _ in range(20))
+        kind, real, made = chance.choice(makers)
+        before, value, after = made()
+        start = len(text) + 1 + len(before)
+        text = f"{text} {before}{value}{after} {word()} {word()}."
+        docs.append((i, text))
+        (good if real else bad).setdefault(i, set()).add(f"{kind}:{start}:{start + len(value)}")
+    return docs, good, bad
+
+
+def test_added_spans_by_precision_and_recall(spark):
+    docs, good, bad = planted(5, 600)
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    found = {r.doc_id: {x for x in r.spans.split(",") if x and x.split(":")[0] not in pii.BASE} for r in pii.personal_data(frame).collect()}
+    base = {i: {x for x in base_spans(t)} for i, t in docs}
+    wanted = {i: {x for x in xs if not any(x.split(":", 1)[1] == y.split(":", 1)[1] for y in base[i])} for i, xs in good.items()}
+    hits, all_wanted, all_found = sum(len(found[i] & xs) for i, xs in wanted.items()), sum(map(len, wanted.values())), sum(map(len, found.values()))
+    assert hits / all_wanted > 0.95 and hits / all_found > 0.95
+    turned_down = sum(len(xs - found[i]) for i, xs in bad.items())
+    assert turned_down / sum(map(len, bad.values())) > 0.95 and sum(map(len, bad.values())) > 200
+
+
+def test_the_labelers_disagree(spark):
+    docs, good, bad = planted(6, 300)
+    rows = pii.candidates(spark.createDataFrame(docs, "doc_id bigint, text string"), "text", ["doc_id"]).select("found").collect()
+    patterns = {(s.kind, s.votes) for r in rows for s in r.found if not s.base}
+    assert any("+" in v and "-" in v for _, v in patterns)
+    assert {k for k, _ in patterns} >= {"secret", "account", "name"}
