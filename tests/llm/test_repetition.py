@@ -70,3 +70,15 @@ def test_empty_and_filter(spark):
     docs = spark.createDataFrame([(1, " ".join(f"u{k}" for k in range(40)), "s"), (2, None, "s")], "doc_id bigint, text string, kept string")
     assert repetition.repetition_rules(docs.limit(0)).collect() == []
     assert [tuple(r) for r in repetition.keep_unrepetitive(docs).select("doc_id", "kept").collect()] == [(1, "s")]
+
+
+def test_verdict_equals_brute_force():
+    """kept, covered fraction and longest repeat from repeats found by comparing all pairs of places."""
+    for text in [t for t in texts() if t and len(t) < 2500]:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        longest = longest_by_force(words)
+        spans = {p for k, n in enumerate(longest) if n >= repetition.MIN_REPEAT for p in range(k, k + n)}
+        top, failed = max(longest, default=0), judged_by_force(text)[-1]
+        kept = not failed and len(spans) <= repetition.MAX_COVERED * len(words) and top <= max(repetition.MIN_REPEAT, repetition.MAX_LONGEST * len(words))
+        got = repetition.judge(text)
+        assert (got[6], got[8]) == (kept, top) and abs(got[7] - len(spans) / max(1, len(words))) < 1e-12

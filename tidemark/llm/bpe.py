@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -19,14 +21,17 @@ import regex
 import tiktoken
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_batches, release
 
-#: Bytes of text in a block, and the most buckets of distinct words.
+#: Bytes of text in a block, and the most buckets of distinct words: beyond, a block has too few words for each.
 BLOCK_BYTES = 12 << 20
-MOST_BUCKETS = 4096
+MOST_BUCKETS = 1 << 14
+#: Equal rows of a task that go to one block, and words that a bucket's task remembers with their ids at once.
+ALIKE, REMEMBERED = 64, 1 << 21
 
 
 @lru_cache(maxsize=2)
@@ -49,16 +54,22 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]
     """The texts dealt to blocks of about BLOCK_BYTES, and the number of blocks.
 
     A row holds the texts that one batch of the scan has for a block, compressed together: block, doc_ids, sizes, texts.
+    The block follows from the row, the task and how often the task has met an equal row, so that repeated rows spread
+    out, and a task that runs again deals the same rows to the same blocks.
     """
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     count = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // BLOCK_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("int"))
+    rows = rows.withColumn("hash", F.xxhash64("doc_id", "text"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=3)
+        packer, met, task = zstandard.ZstdCompressor(level=3), Counter(), TaskContext.get().partitionId()
         for batch in batches:
-            own, ids, texts = batch.column(2).to_numpy(), batch.column(0), batch.column(1).cast(pa.binary())
+            ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
+            own = np.empty(len(ids), np.int32)
+            for k, value in enumerate(batch.column(2).to_pylist()):
+                own[k] = xxhash.xxh3_64_intdigest(struct.pack("<qqq", value, task, met[value] // ALIKE)) % count
+                met[value] += 1
             order = np.argsort(own, kind="stable")
             starts = np.flatnonzero(np.diff(own[order], prepend=-1))
             for at in np.split(order, starts[1:]) if len(order) else []:
@@ -121,6 +132,8 @@ def encoded_rows(words: DataFrame, path: str, pattern: str, buckets: int) -> Dat
         for batch in batches:
             for block, bucket, sizes, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 out = []
+                if len(known) > REMEMBERED:
+                    known.clear()
                 for word in split(unpacker.decompress(raw), sizes):
                     if (ids := known.get(word)) is None:
                         ids = known[word] = np.array(encode(word), "<u4").tobytes()

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, word_count
+from tidemark.llm.common import WORD, stored, word_count
 
 #: Hex digits of the key that name a key range: 16**3 ranges for each source.
 RANGE_DIGITS = 3
@@ -66,18 +66,21 @@ def mix_sources(
     target above the source's size begins another epoch in the same order.
 
     A null text counts no words. A null source is a source of its own, last in order. Documents without words take
-    nothing. The key is the MD5 of the id as text (null: of the empty text); rows of one id are ordered by size, and
-    rows that agree in both are interchangeable. An empty table gives no rows. Columns not named here are ignored.
+    nothing. The key is the MD5 of the id as text (null: the empty text), a colon and the text, so that neither a null id
+    nor a repeated one gathers its rows in one key range; rows that agree in both are interchangeable. An empty table gives no rows. Columns not named here are ignored.
     """
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    blank = F.lit("")
+    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), blank), F.lit(":"), F.coalesce(F.col(text_col), blank)))
     base = (
         docs.select(
             F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key.alias("key"),
             word_count(F.col(text_col)).alias("size"), F.struct(*[F.col(c) for c in carry] or [F.lit(1)]).alias("carried"),
         )
         .withColumn("key_range", F.substring("key", 1, RANGE_DIGITS))
-        .repartition("source", "key_range")
     )
+    if not carry:  # without the texts the rows are small: written once, the words are counted once
+        base = stored(base, "mix-rows", waves=4)
+    base = base.repartition("source", "key_range")
     ranges = base.groupBy("source", "key_range").agg(F.sum("size").alias("range_size"))
     targets = source_targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, cap)
     earlier = Window.partitionBy("source").orderBy("key_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -103,11 +106,14 @@ def mix_sources(
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of documents: a row for each epoch that takes something of a document.
 
-    The document at a source's cut is shortened after the last word that is taken, and its n_chars follows.
+    The document at a source's cut is shortened after the last word that is taken, and its n_chars follows. Documents
+    without words, null and empty ones among them, aren't in the mix. Repeated rows count each, null ids and sources
+    stay null, further columns of any name stay as they are, and an empty table gives no rows.
     """
+    epochs = int(-(-options.get("cap", 2.0) // 1))
     took = mix_sources(docs, carry=docs.columns, **options)
     pieces = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(1)), lambda e: F.least("size", F.greatest(F.lit(0), F.col("taken") - F.col("size") * e))),
+        F.transform(F.sequence(F.lit(0), F.lit(epochs - 1)), lambda e: F.least("size", F.greatest(F.lit(0), F.col("taken") - F.col("size") * e))),
         lambda n: n > 0,
     )
     whole = F.col("carried.text")
@@ -119,7 +125,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 SQL = r"""
 WITH base AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS k,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
   FROM documents),
 sized AS (SELECT source, sum(size)::BIGINT AS source_size FROM base GROUP BY source),

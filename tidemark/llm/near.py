@@ -28,10 +28,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, release, stored
+from tidemark.llm.common import MADE, bounded_batches, discard, release, stored
 
 SHINGLE = 5
 #: A link: at least this percentage of the union is shared. The bounds below are worked out for 80.
@@ -112,10 +113,13 @@ def block_rows(docs: DataFrame, blocks: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen, packer = Hashes(), set(), zstandard.ZstdCompressor(level=3)
+        # each task begins at a place of its own and goes on through all its batches, so that all blocks get as many rows
+        turn = TaskContext.get().partitionId() * 0x9E3779B1
         for batch in batches:
             held: dict[int, list[tuple[bytes, bytes]]] = {}
             rows: dict[int, list[tuple[int | None, int, bytes]]] = {}
-            for turn, (doc_id, value) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True)):
+            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                turn += 1
                 words = words_in(value.as_buffer().to_pybytes()) if value.is_valid else []
                 tokens = shingles(words, hashes)
                 node = node_of(tokens)
@@ -354,7 +358,9 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels.withColumnRenamed("ref", "b"), "b").groupBy(F.col("a").alias("ref")).agg(F.min("label").alias("near"))
         spread = labels.join(near, "ref").select("ref", F.least("label", "near").alias("next"), F.col("label").alias("before"))
         jump = labels.select(F.col("ref").alias("next"), F.col("label").alias("beyond"))
+        last = MADE[-1]
         moved = stored(spread.join(jump, "next").select("ref", F.least("next", "beyond").alias("label"), "before"), "labels")
+        discard(edges.sparkSession, [last])
         labels = moved.select("ref", "label")
         if moved.where(F.col("label") != F.col("before")).isEmpty():
             return labels
@@ -420,17 +426,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // BLOCK_BYTES))
-    # as many buckets as keep their tokens bounded, but not so many that a block has less than 64 tokens for each
-    bits = min(max(4, (size // BUCKET_BYTES).bit_length()), max(4, (size // (512 * blocks)).bit_length()), 24)
+    # as many buckets as keep their tokens bounded, but not so many that a block has less than 8 tokens for each: below
+    # that the rows of the count are mostly their own overhead
+    bits = min(max(4, (size // BUCKET_BYTES).bit_length()), max(4, (size // (64 * blocks)).bit_length()), 24)
     dealt = block_rows(rows, blocks)
-    index = stored(index_rows(dealt, class_rows(token_rows(dealt, bits)), bits), "index", waves=4)
+    index = stored(index_rows(dealt, class_rows(token_rows(dealt, bits)), bits), "index", waves=4, size=size)
     nodes, entries, of = index.where("sig IS NULL AND ref IS NOT NULL"), index.where("sig IS NOT NULL"), index.where("sig IS NULL AND ref IS NULL")
-    lists = stored(list_rows(entries), "lists")
+    lists = stored(list_rows(entries), "lists", size=size // 4)
     stars = lists.select(F.col("first").alias("a"), F.explode("refs").alias("b")).where("a <> b").distinct()
-    edges = stored(verified(stars, nodes), "links")
+    edges = stored(verified(stars, nodes), "links", size=size // 4)
     labels = components(edges)
+    tried = None
     for most in (FIRST_TRIES, None):
-        more = stored(verified(open_pairs(lists, labels, nodes, most), nodes), "links")
+        pairs = open_pairs(lists, labels, nodes, most)
+        pairs = tried = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "tries", size=size // 16)
+        more = stored(verified(pairs, nodes), "links")
         if not more.isEmpty():
             edges = edges.unionByName(more)
             labels = components(edges)
@@ -446,9 +456,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents whose doc_id is the smallest of their component, all columns as they were.
 
-    Of rows that repeat a doc_id one stays. A row without an id can't be named as a copy: it stays, equal ones once.
+    Of rows that repeat a doc_id one stays. A row without an id can't be named as a copy: it stays, equal ones once. A
+    null or empty text links with nothing, so it stays. Further columns may have any name; an empty table stays empty.
     """
     named = docs.where(F.col("doc_id").isNotNull())
-    found = near_duplicates(named).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    found = near_duplicates(named.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     kept = named.join(found, named["doc_id"] == found["kept_id"], "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates())

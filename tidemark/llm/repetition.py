@@ -1,9 +1,10 @@
 """Operator 3: quality rules from the suffix array of a document's words.
 
 Each text is handled alone and whole. Prefix doubling sorts the suffixes of its word sequence; the ranks that
-doubling leaves at each level give the longest common prefixes of neighbours. The intervals of equal prefixes are the
-repeated substrings, and a suffix's longest repeat is the larger prefix that it shares with a neighbour; the union of
-these spans is the repeated part of the text.
+doubling leaves at each level give the longest common prefixes of neighbours. An interval of suffixes that share a
+prefix is a repeated substring; of all the intervals that a suffix lies in, the longest prefix is the larger one that it
+shares with a neighbour. So the union of the repeated substrings is the union of these longest repeats, one for each
+suffix, and no interval needs to be written out.
 """
 
 from __future__ import annotations
@@ -120,7 +121,11 @@ def repetition_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def keep_unrepetitive(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, all columns as they were."""
+    """The documents that the rules keep, all columns as they were.
+
+    A null or empty text fails the base rule, so it goes. Repeated rows are judged alike, ids aren't looked at, further
+    columns may have any name, and an empty table stays empty.
+    """
 
     bounded_batches(docs.sparkSession)
 

@@ -2,9 +2,10 @@
 
 Vectors are turned into integers, packed into blocks sorted by descending length, and rotated by the eigenvectors of
 their second moments (the right singular vectors of the whole table), so that the leading rotated components carry most
-of a product. The longest vectors give every query a first k-th best score. Then each block of queries meets each block
-of candidates: a query skips a block whose longest vector can't reach its k-th best (Cauchy-Schwarz); within a block,
-partial sums over leading components plus the product of the residual lengths bound the score, and only candidates
+of a product. The longest vectors give every query a first k-th best score. Then each block of queries meets the blocks
+of candidates that could still matter: a block of queries needs vectors of at least the smallest ratio of its floors to
+its lengths (Cauchy-Schwarz), and shorter blocks of candidates aren't sent to it. Within a pair of blocks, a query skips
+candidates that are too short for it, and partial sums over leading components plus the product of the residual lengths bound the score, and only candidates
 whose bound reaches the k-th best get their exact integer score.
 """
 
@@ -25,6 +26,8 @@ CANDIDATES, QUERIES, SEEDS = 8192, 1024, 2048
 CUTS = (8, 24)
 #: Slack for rounding in the rotated sums, as a part of the product of lengths.
 SLACK = 1e-9
+#: Marks on the scale of lengths that tell which blocks of queries a block of candidates goes to.
+MARKS = 1000
 
 PACKED = "block long, longest double, ids binary, vectors binary, width int"
 PAIRS = "query_id bigint, vec_id bigint, score bigint"
@@ -152,7 +155,11 @@ def top_products(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     Queries are the rows whose id is divisible by `every`; candidates are all rows but those with the query's own id.
     Score: the inner product of the integer vectors floor(scale * x); ties go to the smaller id. Vectors that are null
     or empty, hold null or non-finite components, or have a null id take no part. Vectors of different widths don't
-    meet. Repeated rows are candidates each, and a repeated query id is one query. An empty table gives no rows.
+    meet. Repeated rows are candidates each, and a repeated query id is one query. An empty table gives no rows. Further
+    columns are ignored. Scores must fit 64 bits: beyond that, products of huge finite components wrap around.
+
+    The result is exact whatever the lengths. On vectors of nearly equal lengths without leading directions, as in the
+    given tables, the bounds prune next to nothing, and the work is that of comparing every query with every row.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
@@ -186,12 +193,14 @@ def _of_width(rows: DataFrame, width: int, k: int, every: int) -> DataFrame:
                 for a, _, scores in best_of(q_ids, q, floors, c_ids, c, seed_block["longest"], basis, k):
                     if len(scores) >= k:
                         floors[place[a]] = scores[k - 1]
+                lengths = np.sqrt((q.astype(np.float64) ** 2).sum(1))
+                needed = np.where(floors <= 0, 0.0, floors / np.maximum(lengths, 1e-300)).min(initial=np.inf) * (1 - SLACK)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["block"]], pa.int64()), pa.array([row["ids"]]), pa.array([row["vectors"]]), pa.array([floors.astype("<f8").tobytes()])],
-                    ["q_block", "q_ids", "q_vectors", "floors"],
+                    [pa.array([row["block"]], pa.int64()), pa.array([row["ids"]]), pa.array([row["vectors"]]), pa.array([floors.astype("<f8").tobytes()]), pa.array([float(max(needed, 0.0))])],
+                    ["q_block", "q_ids", "q_vectors", "floors", "needed"],
                 )
 
-    asked_blocks = stored(queries.mapInArrow(with_floors, "q_block long, q_ids binary, q_vectors binary, floors binary"), "query-floors", waves=4)
+    asked_blocks = stored(queries.mapInArrow(with_floors, "q_block long, q_ids binary, q_vectors binary, floors binary, needed double"), "query-floors", waves=4)
     sorted_rows = rows.repartitionByRange(F.desc("norm"), "vec_id")
     blocks = packed(sorted_rows.sortWithinPartitions(F.desc("norm"), "vec_id"), CANDIDATES)
 
@@ -205,12 +214,23 @@ def _of_width(rows: DataFrame, width: int, k: int, every: int) -> DataFrame:
                 if found:
                     yield as_batch(found)
 
-    # every block of queries against every block of candidates, a row for each pair of blocks
-    slot = asked_blocks.select("q_block", (F.row_number().over(Window.orderBy("q_block")) - 1).alias("slot"))
-    numbered = asked_blocks.join(slot, "q_block")
-    slots = max(1, asked_blocks.count())
-    dealt = blocks.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    return dealt.join(numbered, "slot").repartition("slot", "block").mapInArrow(meet, PAIRS)
+    # a row for each pair of blocks that can matter. Blocks of queries are numbered by the length that they need, so those
+    # that a block of candidates goes to are the first few; how many is read off MARKS of the lengths, rounded up
+    slot = asked_blocks.select("q_block", (F.row_number().over(Window.orderBy("needed", "q_block")) - 1).alias("slot"), "needed")
+    numbered = stored(asked_blocks.drop("needed").join(slot, "q_block"), "query-slots", waves=4)
+    steps = slot.withColumn("mark", F.ntile(MARKS).over(Window.orderBy("slot"))).groupBy("mark").agg(F.min("needed").alias("least"), (F.max("slot") + 1).alias("upto"))
+    marks = [(least, upto) for _, least, upto in sorted(steps.collect())]
+    upto = F.lit(0)
+    for least, count in _thinned(marks):
+        upto = F.when(F.col("longest") * (1 + SLACK) >= least, F.lit(count)).otherwise(upto)
+    dealt = blocks.withColumn("upto", upto).where("upto > 0").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("upto") - 1)))
+    return dealt.join(numbered.drop("needed"), "slot").repartition("slot", "block").mapInArrow(meet, PAIRS)
+
+
+def _thinned(marks: list[tuple[float, int]], most: int = 50) -> list[tuple[float, int]]:
+    """At most `most` steps: each joins some neighbours, with the least length and the largest count of them."""
+    width = -(-len(marks) // most) or 1
+    return [(marks[k][0], marks[min(k + width, len(marks)) - 1][1]) for k in range(0, len(marks), width)]
 
 
 SQL = """

@@ -1,10 +1,13 @@
 """Operator 9: WARC archives as a chunked record table.
 
-Payloads travel as rows of a record and a chunk number, cut in the JVM, so that no Python worker holds a whole payload.
-The writer streams a partition's chunks into one archive, a gzip member for each record; the reader streams archives
-back into chunk rows, each carrying the SHA-1 of the payload so far. Archives lie in the shared folder and are reached
-by URI. A partition is written under a name of its own and then moved to its final name, so a task that runs again
-after a lost executor replaces its archive with an equal one.
+Which record is a response and which one revisits it is decided over ids, digests and lengths alone; then the payloads
+are dealt to archives of about a target size, by id and digest, so that the copies of a common page don't meet in one
+task. Payloads travel as rows of a record and a chunk number, cut in the JVM, so that no Python worker holds a whole
+payload. The writer streams a partition's chunks into one archive, a gzip member for each record; the reader streams
+archives back into the chunk table, whose rows carry the length and the SHA-1 of the payload so far, and the last chunk
+of a record gives the record's row. Archives lie in the shared folder and are reached by URI. A partition is written
+under a name of its own and then moved to its final name, so a task that runs again after a lost executor replaces its
+archive with an equal one.
 """
 
 from __future__ import annotations
@@ -18,13 +21,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, scratch
+from tidemark.llm.common import bounded_batches, gone_at_exit, scratch
 
 #: Bytes of payload in a chunk row, and of an archive in one read.
 CHUNK = 256 << 10
+#: Bytes of payload behind an archive, and bytes and chunks that the reader hands on at once.
+ARCHIVE_BYTES, AT_ONCE_BYTES, AT_ONCE = 128 << 20, 2 << 20, 500
 #: The date of every record: an archive depends on its rows alone.
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -39,15 +44,24 @@ def record_id(page_id: int | None) -> str:
 
 
 def decided(pages: DataFrame, id_col: str, url_col: str, html_col: str, least: int) -> DataFrame:
-    """(page_id, url, payload, sha1, payload_bytes, refers_to): refers_to is null for responses."""
-    rows = pages.select(
-        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
-        F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"),
-    ).withColumns({"sha1": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")})
-    firsts = rows.groupBy(F.col("sha1").alias("of_sha1"), F.col("payload_bytes").alias("of_bytes")).agg(F.max("page_id").alias("response_id"))
-    joined = rows.join(firsts, (F.col("sha1") == F.col("of_sha1")) & (F.col("payload_bytes") == F.col("of_bytes")))
-    revisits = (F.col("payload_bytes") >= least) & F.col("response_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_id"))
-    return joined.select("page_id", "url", "payload", "sha1", "payload_bytes", F.when(revisits, F.col("response_id")).alias("refers_to"))
+    """(page_id, url, payload, sha1, payload_bytes, refers_to): refers_to is null for responses.
+
+    Only ids, digests and lengths are grouped by digest; payloads are joined with what follows from that by the id and
+    the digest together, in as many partitions as archives are wanted.
+    """
+    spark = pages.sparkSession
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    total = pages.agg(F.sum(F.octet_length(html))).first()[0] or 0
+    archives = max(1, spark.sparkContext.defaultParallelism, -(-total // ARCHIVE_BYTES))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.encode(html, "UTF-8").alias("payload"))
+    rows = rows.withColumns({"sha1": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")})
+    rows = rows.withColumn("row_key", F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.lit(":"), "sha1"))
+    digests = rows.where(F.col("payload_bytes") >= least).select("page_id", "sha1", "payload_bytes", "row_key")
+    firsts = digests.groupBy(F.col("sha1").alias("of_sha1"), F.col("payload_bytes").alias("of_bytes")).agg(F.max("page_id").alias("response_id"), F.count("*").alias("copies")).where("copies > 1")
+    again = digests.join(firsts, (F.col("sha1") == F.col("of_sha1")) & (F.col("payload_bytes") == F.col("of_bytes")))
+    again = again.where(F.col("response_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_id")))
+    refers = again.groupBy(F.col("row_key").alias("again_key")).agg(F.max("response_id").alias("refers_to"))
+    return rows.repartition(archives, "row_key").join(refers, F.col("row_key") == F.col("again_key"), "left").select("page_id", "url", "payload", "sha1", "payload_bytes", "refers_to")
 
 
 def chunk_rows(records: DataFrame, chunk: int) -> DataFrame:
@@ -99,9 +113,10 @@ def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
             store.move(temporary, final)
             yield pa.RecordBatch.from_arrays([pa.array([f"part-{task.partitionId():05d}.warc.gz"]), pa.array([records], pa.int64())], ["path", "records"])
 
-    # as many archives as the cluster writes at once; the partition of a task names its archive, so none may be merged later
+    # the partition of a task names its archive; its list is written first, so that no later plan merges the partitions
     spark, listed = chunks.sparkSession, scratch(chunks.sparkSession, "archive-list")
-    chunks.coalesce(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(run, "path string, records bigint").write.parquet(listed)
+    chunks.mapInArrow(run, "path string, records bigint").write.parquet(listed)
+    gone_at_exit(spark, listed)
     return spark.read.schema("path string, records bigint").parquet(listed)
 
 
@@ -191,47 +206,63 @@ def _opened(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator:
                 yield stream
 
 
+CHUNKS = (
+    "record_id string, chunk_no int, data binary, payload_sha1 string, payload_bytes bigint, last boolean, "
+    "record_type string, page_id bigint, refers_to bigint, said_digest string, said_bytes bigint"
+)
+
+
 def read_chunks(archives: DataFrame, folder: str, chunk: int = CHUNK) -> DataFrame:
-    """The chunked record table: record_id, chunk_no, data, payload_sha1 (so far, hex), last."""
+    """The chunked record table: record_id, chunk_no, data, payload_sha1 and payload_bytes (so far), last, and what the
+    record's header says: record_type, page_id, refers_to, said_digest (base32), said_bytes."""
+    names = [x.split()[0] for x in CHUNKS.split(", ")]
+    kinds = [pa.string(), pa.int32(), pa.binary(), pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
+        number = lambda x: None if x is None else int(x)
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            rows.clear()
+            return made
+
         for stream in _opened(folder, batches):
-            for fields, number, data, _, sha1, last in chunks_of(stream, chunk):
-                columns = [pa.array([x]) for x in (fields["warc-record-id"], number, data, sha1, last)]
-                columns[1] = columns[1].cast(pa.int32())
-                yield pa.RecordBatch.from_arrays(columns, ["record_id", "chunk_no", "data", "payload_sha1", "last"])
+            for fields, chunk_no, data, size, sha1, last in chunks_of(stream, chunk):
+                said = fields.get("warc-payload-digest", "").removeprefix("sha1:")
+                header = fields["warc-type"], number(fields.get("x-page-id")), number(fields.get("x-refers-to-page")), said, number(fields.get("x-payload-length"))
+                rows.append((fields["warc-record-id"], chunk_no, data, sha1, size, last, *header))
+                held += len(data)
+                if held >= AT_ONCE_BYTES or len(rows) >= AT_ONCE:
+                    yield out()
+                    held = 0
+        if rows:
+            yield out()
 
-    return archives.select("path").mapInArrow(run, "record_id string, chunk_no int, data binary, payload_sha1 string, last boolean")
+    return archives.select("path").mapInArrow(run, CHUNKS)
 
 
 def read_records(archives: DataFrame, folder: str, chunk: int = CHUNK) -> DataFrame:
-    """One row for each record: page_id, payload_bytes, payload_digest, record_type, refers_to.
+    """One row for each record, from the last rows of the chunk table: page_id, payload_bytes, payload_digest,
+    record_type, refers_to.
 
-    A response's length and digest are those of the payload as it is read; they must agree with its header. A revisit
+    A response's length and digest are those of the payload as it was read; they must agree with its header. A revisit
     has those of its header, as its payload lies with the response that it refers to.
     """
-    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    ends = read_chunks(archives, folder, chunk).where("last")
+    digest = base32_of(F.col("payload_sha1"))
+    differs = (F.col("record_type") == "response") & ~((F.col("payload_bytes") == F.col("said_bytes")) & (digest == F.col("said_digest")))
+    checked = F.when(differs, F.raise_error(F.concat(F.lit("the payload of "), F.col("record_id"), F.lit(" differs from its header"))).cast("string")).otherwise(F.col("said_digest"))
+    return ends.select("page_id", F.col("said_bytes").alias("payload_bytes"), checked.alias("payload_digest"), "record_type", "refers_to")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-        number = lambda x: None if x is None else int(x)
-        for stream in _opened(folder, batches):
-            for fields, _, _, size, sha1, last in chunks_of(stream, chunk):
-                if not last:
-                    continue
-                kind, said = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
-                if kind == "response" and (size != int(fields["x-payload-length"]) or base32(sha1) != said):
-                    raise ValueError(f"the payload of {fields['warc-record-id']} differs from its header")
-                rows.append((number(fields.get("x-page-id")), int(fields["x-payload-length"]), said, kind, number(fields.get("x-refers-to-page"))))
-                if len(rows) >= 5000:
-                    yield out()
-                    rows.clear()
-        if rows:
-            yield out()
 
-    return archives.select("path").mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+def base32_of(sha1: Column) -> Column:
+    """The base32 form of a SHA-1 in hexadecimal digits: eight groups of five digits, each four letters."""
+    letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    group = lambda g: F.conv(F.substring(sha1, 5 * g + 1, 5), 16, 10).cast("int")
+    letter = lambda g, k: F.substring(letters, F.shiftright(group(g), 15 - 5 * k).bitwiseAND(F.lit(31)) + 1, F.lit(1))
+    return F.concat(*[letter(g, k) for g in range(8) for k in range(4)])
 
 
 def archive_pages(
@@ -247,8 +278,10 @@ def archive_pages(
     """
     spark = pages.sparkSession
     bounded_batches(spark)
-    folder = folder or scratch(spark, "warc")
+    own, folder = folder is None, folder or scratch(spark, "warc")
     listed = write_archives(chunk_rows(decided(pages, id_col, url_col, html_col, least), chunk), folder)
+    if own:
+        gone_at_exit(spark, folder)
     return read_records(listed.repartition(max(1, listed.count()), "path"), folder, chunk)
 
 
