@@ -77,7 +77,8 @@ def places(pieces: Column, found: Column) -> Column:
     earlier = F.concat(F.array(F.lit("")), F.slice(found, 1, count - 1))
     gaps = F.zip_with(gaps, earlier, lambda g, v: F.struct(g["gap"].alias("gap"), g["value"].alias("value"), F.lower(F.substring(F.concat(F.substring(v, -BEFORE, BEFORE), g["before"]), -BEFORE, BEFORE)).alias("before")))
     gaps = F.zip_with(gaps, F.slice(pieces, 2, count), lambda g, p: F.struct(g["gap"].alias("gap"), g["value"].alias("value"), g["before"].alias("before"), F.substring(p, 1, 1).alias("after")))
-    parts = F.transform(F.sequence(F.lit(0), F.floor((count - 1) / AT_ONCE).cast("int")), lambda k: F.slice(gaps, k * AT_ONCE + 1, F.lit(AT_ONCE)))
+    # gaps is bound to a variable: an expression inside a lambda is worked out again for each element
+    parts = F.transform(F.array(gaps), lambda g: F.transform(F.sequence(F.lit(0), F.floor((count - 1) / AT_ONCE).cast("int")), lambda k: F.slice(g, k * AT_ONCE + 1, F.lit(AT_ONCE))))[0]
     none = F.expr(f"cast(array() as {SPAN})")
     one = lambda at, x: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + F.length(x["value"])).alias("end"), *[x[n].alias(n) for n in ("value", "before", "after")])
     inner = lambda part, at: F.aggregate(
