@@ -85,7 +85,7 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark):
 def test_nulls_repeats_long_texts_and_further_columns(spark, tmp_path):
     rows = [(*r, f"x{r[0]}", 1) for r in documents()]
     chance = random.Random(4)
-    long = " ".join(f"w{chance.randrange(10**9)}" for _ in range(60000))
+    long = " ".join(f"w{chance.randrange(10**9)}" for _ in range(20000))
     rows += [rows[6], rows[6], (None, rows[7][1] + " and an end of its own that no other text has at all", "en", None, 0, None, None), (99, long, None, None, None, "long", 2), (None, None, None, None, None, None, None)]
     spark.createDataFrame(rows, FIELDS + ", found string, label int").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
@@ -99,4 +99,4 @@ def test_nulls_repeats_long_texts_and_further_columns(spark, tmp_path):
     mixed = corpus_pipeline.source_mix(spark, docs, "")
     assert mixed.columns == docs.columns and mixed.where("text IS NULL OR text = ''").count() == 0
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r.doc_id for r in got} <= set(by_id) and any(r.n_tokens > 100000 for r in got)
+    assert {r.doc_id for r in got} <= set(by_id) and any(r.n_tokens > 40000 for r in got)
