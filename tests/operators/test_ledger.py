@@ -57,10 +57,10 @@ def events(spark):
     rows = []
     for day in [d for d in DAYS if d >= date(2021, 1, 4)]:
         marks = {s: (p[0].isoformat(), str(p[1])) for s in PATHS if (p := price(s, day))}
-        acts = [{"security_id": a["security_id"], "action_type": a["action_type"], "amount": a["amount"], "new_shares": a["new_shares"], "old_shares": a["old_shares"]} for a in ACTIONS if a["ex_date"] == day]
-        acts += [{"security_id": "s5", "action_type": "delisting", "reason": "failure"}] * (day == date(2021, 3, 15))
+        acts = [{"security_id": a["security_id"], "effect": {"split": "ratio", "dividend": "cash"}[a["action_type"]], "amount": a["amount"], "new_shares": a["new_shares"], "old_shares": a["old_shares"], "note": "ordinary"} for a in ACTIONS if a["ex_date"] == day]
+        acts += [{"security_id": "s5", "effect": "exit", "amount": 0, "at_mark": False, "note": "ended: failure"}] * (day == date(2021, 3, 15))
         clock = DAYS[DAYS.index(day) - 1]
-        plan = {"marks": marks, "actions": acts, "prints": {s: (p, None) for s, (d, p) in marks.items() if d == day.isoformat()}}
+        plan = {"marks": marks, "effects": acts, "prints": {s: (p, None) for s, (d, p) in marks.items() if d == day.isoformat()}}
         if day in chosen:
             plan |= {"targets": dict.fromkeys(chosen[day], 0.5), "sizes": {s: str(price(s, clock)[1]) for s in chosen[day]}}
         rows += [(run, day, json.dumps(plan)) for run in ("a", "b")]

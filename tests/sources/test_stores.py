@@ -83,3 +83,9 @@ def test_payloads_reject_what_they_cannot_read(spark):
     assert sorted((r.place, r.reason) for r in bad.collect()) == [(1, "missing_field"), (2, "impossible_prices")]
     split = payloads.splits(spark.createDataFrame([("a", '[{"date":"2021-01-04","split":"4.000000/2.000000"},{"date":"2021-02-01","split":"odd"}]')], "security_id string, payload string"))
     assert sorted(map(tuple, split.collect())) == [("a", date(2021, 1, 4), 2, 1), ("a", date(2021, 2, 1), None, None)]
+
+
+def test_a_null_in_the_key_is_stored_once(spark, tmp_path):
+    rows = spark.createDataFrame([("s", date(2020, 1, 2), None, 1), ("s", date(2020, 1, 3), "a", 2)], "security_id string, trade_date date, source string, n int")
+    write = lambda: stores.append_once(rows, f"file://{tmp_path}/once", "security_id string, trade_date date, source string, n int", ["security_id", "trade_date", "source"], "year", "trade_date")
+    assert (write(), write()) == (2, 0)

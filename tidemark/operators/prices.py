@@ -36,34 +36,40 @@ def anchored(actions: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def event_factors(actions: DataFrame, bars: DataFrame) -> DataFrame:
-    """(security_id, ex_date, split_factor, dividend_factor): old / new shares, and 1 - dividend / previous close.
+    """(security_id, ex_date, split_factor, dividend_factor, unanchored): products of old / new shares, and of
+    1 - dividend / base for each dividend of the day.
 
-    Splits of a day come before its dividends, whose base is the previous close in post-split terms. A dividend not
-    below that base gives no factor. Actions without an anchor fall out, as do those outside a security's bars.
+    Splits of a day come before its dividends, whose base is the previous close in post-split terms; a split needs no
+    previous bar. A dividend not below its base gives no factor. A dividend whose previous bar is too old gives none
+    either, and its day is marked unanchored: what is adjusted over it is incomplete.
     """
-    ok = anchored(actions, bars).where("anchor_status = 'ok'")
-    day = ok.groupBy("security_id", "ex_date").agg(
-        F.product(F.when(F.col("action_type") == "split", F.col("old_shares") / F.col("new_shares")).otherwise(1.0)).alias("split_factor"),
-        F.sum(F.when(F.col("action_type") == "dividend", F.col("amount")).otherwise(0.0)).alias("paid"), F.max("prev_close").alias("prev_close"),
-    )
+    day = Window.partitionBy("security_id", "ex_date")
+    kind = F.col("action_type")
+    found = anchored(actions, bars).withColumn("split_factor", F.product(F.when(kind == "split", F.col("old_shares") / F.col("new_shares")).otherwise(1.0)).over(day))
     base = F.col("prev_close") * F.col("split_factor")
-    return day.withColumn("dividend_factor", F.when((F.col("paid") > 0) & (F.col("paid") < base), 1 - F.col("paid") / base).otherwise(1.0)).drop("paid", "prev_close")
+    counts = (kind == "dividend") & (F.col("anchor_status") == "ok") & (F.col("amount") > 0) & (F.col("amount") < base)
+    return found.groupBy("security_id", "ex_date").agg(
+        F.max("split_factor").alias("split_factor"), F.product(F.when(counts, 1 - F.col("amount") / base).otherwise(1.0)).alias("dividend_factor"),
+        F.bool_or((kind == "dividend") & (F.col("anchor_status") == "stale_previous_bar")).alias("unanchored"),
+    )
 
 
 def adjustment_factors(bars: DataFrame, actions: DataFrame) -> DataFrame:
-    """Each bar with the product of the factors of all later events; a security's last bar has 1.
+    """Each bar with the product of the factors of all later events; a security's last bar has 1. incomplete: a later
+    dividend had no previous bar near enough, so its factor is missing.
 
     The factors of the days between two bars are put on the later bar, and one window from the last bar backwards
     multiplies them: one shuffle, no join of bars with all later events.
     """
     events = event_factors(actions, bars)
     on_bar = asof_join(events, bars.select("security_id", "trade_date"), ["security_id"], "ex_date", "trade_date", {"trade_date": "bar_date"}, forward=True)
-    on_bar = on_bar.where("bar_date IS NOT NULL").groupBy("security_id", F.col("bar_date").alias("trade_date")).agg(F.product("split_factor").alias("own_split"), F.product("dividend_factor").alias("own_dividend"))
+    on_bar = on_bar.where("bar_date IS NOT NULL").groupBy("security_id", F.col("bar_date").alias("trade_date")).agg(F.product("split_factor").alias("own_split"), F.product("dividend_factor").alias("own_dividend"), F.bool_or("unanchored").alias("own_gap"))
     later = series().rowsBetween(1, Window.unboundedFollowing)
     joined = bars.join(on_bar, ["security_id", "trade_date"], "left").na.fill(1.0, ["own_split", "own_dividend"])
     return joined.withColumns({
         "split_factor": F.coalesce(F.product("own_split").over(later), F.lit(1.0)), "dividend_factor": F.coalesce(F.product("own_dividend").over(later), F.lit(1.0)),
-    }).drop("own_split", "own_dividend")
+        "incomplete": F.coalesce(F.bool_or("own_gap").over(later), F.lit(False)),
+    }).drop("own_split", "own_dividend", "own_gap")
 
 
 def adjusted(bars: DataFrame, actions: DataFrame) -> DataFrame:

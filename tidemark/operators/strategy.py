@@ -106,15 +106,16 @@ def day_plans(targets: DataFrame, bars: DataFrame, actions: DataFrame, sessions:
     )
     sized = asof_join(targets, traded, ["security_id"], "clock", "trade_date", {"close": "size"}, tolerance_days=factors.STALE_DAYS)
     wanted = sized.groupBy("run_id", "on").agg(F.map_from_entries(F.collect_list(F.struct(F.col("security_id").cast("string"), "weight"))).alias("targets"), F.map_from_entries(F.collect_list(F.struct(F.col("security_id").cast("string"), text("size")))).alias("sizes"))
-    # an action between sessions applies on the next one
-    due = asof_join(actions.withColumns({"_on": F.greatest("ex_date", "available_on"), "_all": F.lit(1)}), sessions.withColumn("_all", F.lit(1)), ["_all"], "_on", "session", {"session": "on"}, forward=True).where("on IS NOT NULL")
-    acts = due.join(names, "security_id").groupBy("run_id", "on").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("action_id"), F.col("security_id").cast("string").alias("security_id"), "action_type", "new_shares", "old_shares", F.col("amount").cast("decimal(38,6)").cast("string").alias("amount")))).alias("actions")
-    )
+    # an action between sessions applies on the next one; only the distinct days meet the list of sessions
+    effects = ledger.resolved(actions).withColumn("_on", F.greatest("ex_date", "available_on"))
+    next_session = asof_join(effects.select("_on", F.lit(1).alias("_all")).distinct(), sessions.withColumn("_all", F.lit(1)), ["_all"], "_on", "session", {"session": "on"}, forward=True).where("on IS NOT NULL")
+    due = effects.join(next_session.select("_on", "on"), "_on")
+    parts = [F.col("action_id"), F.col("security_id").cast("string").alias("security_id"), "effect", "new_shares", "old_shares", F.col("amount").cast("string").alias("amount"), "at_mark", "note"]
+    acts = due.join(names, "security_id").groupBy("run_id", "on").agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("effects"))
     joined = days.join(by_day, ["run_id", "on"], "left").join(wanted, ["run_id", "on"], "left").join(acts, ["run_id", "on"], "left")
     none = F.expr("cast(map() as map<string,array<string>>)")
-    empty = F.expr("cast(array() as array<struct<action_id:bigint,security_id:string,action_type:string,new_shares:int,old_shares:int,amount:string>>)")
-    payload = F.struct(F.coalesce("marks", none).alias("marks"), F.coalesce("prints", none).alias("prints"), F.coalesce("actions", empty).alias("actions"), "targets", "sizes")
+    empty = F.expr("cast(array() as array<struct<action_id:bigint,security_id:string,effect:string,new_shares:int,old_shares:int,amount:string,at_mark:boolean,note:string>>)")
+    payload = F.struct(F.coalesce("marks", none).alias("marks"), F.coalesce("prints", none).alias("prints"), F.coalesce("effects", empty).alias("effects"), "targets", "sizes")
     return joined.select("run_id", "on", F.to_json(payload).alias("payload"))
 
 

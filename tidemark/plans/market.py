@@ -42,7 +42,7 @@ def j8_close_in_pounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = found.where(F.dayofmonth(day) % 2 == 0).select(F.lit("USD").alias("currency"), day.alias("date"), (0.7 + F.dayofyear(day) % 20 / 100.0).alias("rate")).distinct()
     unit = F.element_at(F.array(F.lit("GBX"), F.lit("GBP"), F.lit("USD")), (F.col("security_id") % 3).cast("int") + 1)
     priced = asof_join(actions(spark, sf_dir), found.select("security_id", "trade_date", "close"), ["security_id"], "ex_date", "trade_date", {"close": "close"}).withColumn("currency", unit)
-    dated = asof_join(priced, rates, ["currency"], "ex_date", "date", {"rate": "rate"}, tolerance_days=7)
+    dated = asof_join(priced, rates, ["currency"], "ex_date", "date", {"rate": "rate"}, tolerance_days=7, bucket_days=90)
     pounds = F.when(F.col("currency") == "GBX", F.col("close") / 100).when(F.col("currency") == "GBP", F.col("close")).otherwise(F.col("close") * F.col("rate"))
     return dated.select("action_id", F.round(pounds, 6).alias("pounds"))
 
@@ -174,9 +174,20 @@ def simulated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     asked = found.select("security_id").distinct().crossJoin(F.broadcast(ends))
     values = strategy.materialised([DEFINITIONS.get("momentum")], asked, found)
     targets = strategy.decisions(values, sessions, 5, "top5").unionByName(strategy.decisions(values, sessions, 20, "top20"))
-    paid = actions(spark, sf_dir).where("action_type = 'dividend'").withColumn("amount", F.col("amount") / 1000)
     rules = ledger.Rules(cash=Decimal(10_000_000), commission_min=Decimal(1))
-    return strategy.backtest(targets, found, paid, sessions, rules), found, sessions
+    return strategy.backtest(targets, found, all_kinds(spark, sf_dir, found), sessions, rules), found, sessions
+
+
+def all_kinds(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    """The splits and dividends of the market (amounts in pounds of a hundred), every third of them special, and the end
+    of some securities: by failure, at the last price, or for cash."""
+    known = actions(spark, sf_dir).withColumns({"amount": F.col("amount") / 1000, "reason": F.lit(None).cast("string"), "special": F.col("action_id") % 3 == 0})
+    ends = found.groupBy("security_id").agg(F.max("close").alias("high")).where("security_id % 10 < 3").withColumns({
+        "action_id": -F.col("security_id"), "ex_date": F.date_add(F.lit("1997-06-02").cast("date"), (F.col("security_id") % 300).cast("int")),
+        "action_type": F.when(F.col("security_id") % 10 == 2, "merger").otherwise("delisting"), "new_shares": F.lit(None).cast("int"), "old_shares": F.lit(None).cast("int"),
+        "amount": F.when(F.col("security_id") % 10 == 2, F.col("high")), "reason": F.when(F.col("security_id") % 10 == 0, "failure").when(F.col("security_id") % 10 == 1, "acquired"), "special": F.lit(False),
+    })
+    return known.unionByName(ends.withColumn("available_on", F.col("ex_date")).select(*known.columns))
 
 
 @query()

@@ -33,18 +33,20 @@ FACTORS = """, anchored AS (
   SELECT a.*, b.trade_date AS prev_date, b.close AS prev_close,
     CASE WHEN b.trade_date IS NULL THEN 'no_previous_bar' WHEN a.ex_date - b.trade_date > 7 THEN 'stale_previous_bar' ELSE 'ok' END AS anchor_status
   FROM actions a ASOF LEFT JOIN bars b ON a.security_id = b.security_id AND a.ex_date > b.trade_date),
-day AS (
-  SELECT security_id, ex_date, product(CASE WHEN action_type = 'split' THEN old_shares::DOUBLE / new_shares ELSE 1.0 END) AS split_factor,
-    sum(CASE WHEN action_type = 'dividend' THEN amount ELSE 0 END) AS paid, max(prev_close) AS prev_close
-  FROM anchored WHERE anchor_status = 'ok' GROUP BY ALL),
+sized AS (
+  SELECT *, product(CASE WHEN action_type = 'split' THEN old_shares::DOUBLE / new_shares ELSE 1.0 END) OVER (PARTITION BY security_id, ex_date) AS day_factor FROM anchored),
 ev AS (
-  SELECT security_id, ex_date, split_factor, CASE WHEN paid > 0 AND paid < prev_close * split_factor THEN 1 - paid / (prev_close * split_factor) ELSE 1.0 END AS dividend_factor FROM day),
+  SELECT security_id, ex_date, max(day_factor) AS split_factor,
+    product(CASE WHEN action_type = 'dividend' AND anchor_status = 'ok' AND amount > 0 AND amount < prev_close * day_factor THEN 1 - amount / (prev_close * day_factor) ELSE 1.0 END) AS dividend_factor,
+    bool_or(action_type = 'dividend' AND anchor_status = 'stale_previous_bar') AS unanchored
+  FROM sized GROUP BY ALL),
 onbar AS (
-  SELECT e.security_id, b.trade_date, product(split_factor) AS s, product(dividend_factor) AS d
+  SELECT e.security_id, b.trade_date, product(split_factor) AS s, product(dividend_factor) AS d, bool_or(unanchored) AS g
   FROM ev e ASOF JOIN bars b ON e.security_id = b.security_id AND e.ex_date <= b.trade_date GROUP BY ALL),
 factors AS (
   SELECT b.security_id, b.trade_date, close,
-    coalesce(product(coalesce(s, 1.0)) OVER w, 1.0) AS split_factor, coalesce(product(coalesce(d, 1.0)) OVER w, 1.0) AS dividend_factor
+    coalesce(product(coalesce(s, 1.0)) OVER w, 1.0) AS split_factor, coalesce(product(coalesce(d, 1.0)) OVER w, 1.0) AS dividend_factor,
+    coalesce(bool_or(g) OVER w, false) AS incomplete
   FROM bars b LEFT JOIN onbar o ON b.security_id = o.security_id AND b.trade_date = o.trade_date
   WINDOW w AS (PARTITION BY b.security_id ORDER BY b.trade_date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))"""
 
@@ -58,10 +60,10 @@ def p11_anchored_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 LOGS = "round(log2(split_factor), 6) AS log_split, round(ln(dividend_factor), 6) AS log_dividend"
 
 
-@query(with_tables(BARS, ACTIONS) + FACTORS + f"SELECT security_id, trade_date, {LOGS} FROM factors")
+@query(with_tables(BARS, ACTIONS) + FACTORS + f"SELECT security_id, trade_date, {LOGS}, incomplete FROM factors")
 def w3_adjustment_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = p.adjustment_factors(bars(spark, sf_dir), actions(spark, sf_dir))
-    return found.select("security_id", "trade_date", F.round(F.log2("split_factor"), 6).alias("log_split"), F.round(F.ln("dividend_factor"), 6).alias("log_dividend"))
+    return found.select("security_id", "trade_date", F.round(F.log2("split_factor"), 6).alias("log_split"), F.round(F.ln("dividend_factor"), 6).alias("log_dividend"), "incomplete")
 
 
 @query(with_tables(BARS, ACTIONS) + FACTORS + "SELECT security_id, trade_date, round(ln(close * split_factor), 6) AS split_adjusted, round(ln(close * split_factor * dividend_factor), 6) AS adjusted FROM factors")

@@ -70,7 +70,7 @@ FROM o ASOF LEFT JOIN rates r ON o.currency = r.currency AND o.on_date >= r.date
 def j5_asof_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     order, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     dated = order.join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").alias("currency"), F.to_date("o_orderdate").alias("on_date"))
-    joined = t.asof_join(dated, rates(spark, sf_dir), ["currency"], "on_date", "date", {"rate": "rate"}, tolerance_days=7)
+    joined = t.asof_join(dated, rates(spark, sf_dir), ["currency"], "on_date", "date", {"rate": "rate"}, tolerance_days=7, bucket_days=90)
     return joined.withColumn("status", F.when(F.col("rate").isNull(), "no_rate").otherwise("ok"))
 
 

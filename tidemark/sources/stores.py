@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
@@ -71,7 +72,9 @@ def append_once(df: DataFrame, root: str, fields: str, key: Sequence[str], parti
     held = stored(spark, root, fields, partition)
     if held is not None:
         years = [r[0] for r in new.select(partition).distinct().collect()]  # one row a year
-        new = new.join(held.where(F.col(partition).isin(years)).select(*key), list(key), "left_anti")
+        there = held.where(F.col(partition).isin(years)).select(*[F.col(c).alias(f"_held_{c}") for c in key]).distinct()
+        # a null in the key equals a null: writing such a row again adds nothing either
+        new = new.join(there, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_held_{c}")) for c in key]), "left_anti")
     new = new.persist()
     try:
         count = new.count()
