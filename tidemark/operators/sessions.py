@@ -75,3 +75,20 @@ def listing_gaps(listings: DataFrame, bars: DataFrame, days: DataFrame) -> DataF
     lost = expected.join(bars.select("security_id", F.col("trade_date").alias("session")), ["security_id", "session"], "left_anti")
     island = F.col("_k") - F.row_number().over(Window.partitionBy("security_id").orderBy("_k"))
     return lost.withColumn("_i", island).groupBy("security_id", "_i").agg(F.min("session").alias("start"), F.max("session").alias("end"), F.count("*").alias("sessions")).drop("_i")
+
+
+def session_gaps(bars: DataFrame, days: DataFrame) -> DataFrame:
+    """As gap_runs(), over the sessions of a calendar: runs of sessions without a bar between a security's first and last
+    bar, so that a holiday is no gap. Bars on days that aren't sessions don't count."""
+    numbered = days.select("session", F.row_number().over(Window.orderBy("session")).alias("_k"))  # a calendar is a short list
+    placed = bars.select("security_id", F.col("trade_date").alias("session")).distinct().join(F.broadcast(numbered), "session")
+    prev = F.lag("_k").over(Window.partitionBy("security_id").orderBy("_k"))
+    lost = placed.withColumn("_p", prev).where("_k - _p > 1").select("security_id", (F.col("_p") + 1).alias("_from"), (F.col("_k") - 1).alias("_to"))
+    at = lambda number, name: F.broadcast(numbered.select(F.col("_k").alias(number), F.col("session").alias(name)))
+    return lost.join(at("_from", "start"), "_from").join(at("_to", "end"), "_to").select("security_id", "start", "end", (F.col("_to") - F.col("_from") + 1).cast("long").alias("sessions"))
+
+
+def half_days(hours: DataFrame) -> DataFrame:
+    """Sessions (session, minutes) shorter than the usual length, the most frequent one (the longest of those)."""
+    usual = hours.groupBy("minutes").agg(F.count("*").alias("_n")).agg(F.max(F.struct("_n", "minutes")).alias("_u"))
+    return hours.crossJoin(F.broadcast(usual)).where(F.col("minutes") < F.col("_u.minutes")).drop("_u")  # one row
