@@ -129,10 +129,18 @@ def _over(by: Sequence[str]) -> Window:
     return Window.partitionBy(*by)
 
 
-def _measured(frame: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The frame with x (the value of ok rows) and the cross-section's count, least and greatest x."""
+def _beside(frame: DataFrame, by: Sequence[str], found: Mapping[str, Column]) -> DataFrame:
+    """The frame with aggregates of each row's cross-section. Without `by` that is the whole frame: a window would bring
+    all rows to one task, so they are aggregated to one row, which is joined back."""
+    if by:
+        return frame.withColumns({name: column.over(_over(by)) for name, column in found.items()})
+    return frame.crossJoin(F.broadcast(frame.agg(*[column.alias(name) for name, column in found.items()])))
+
+
+def _measured(frame: DataFrame, by: Sequence[str], found: Mapping[str, Column] | None = None) -> DataFrame:
+    """The frame with x (the value of ok rows) and the cross-section's count, least and greatest x, and what else is asked."""
     x = F.when(F.col("status") == OK, F.col("value"))
-    return frame.withColumn("_x", x).withColumns({"_n": F.count("_x").over(_over(by)), "_lo": F.min("_x").over(_over(by)), "_hi": F.max("_x").over(_over(by))})
+    return _beside(frame.withColumn("_x", x), by, {"_n": F.count("_x"), "_lo": F.min("_x"), "_hi": F.max("_x"), **(found or {})})
 
 
 def _standardised(measured: DataFrame, value: Column, label: str, extra: Sequence[str] = ()) -> DataFrame:
@@ -149,7 +157,7 @@ def winsorise(frame: DataFrame, by: Sequence[str] = (), *, lower: float, upper:
     """Clamps ok values to the two linear percentiles, with a note where that changes one; below two values nothing."""
     if not 0 <= lower < upper <= 100:
         raise ValueError(f"bad percentiles [{lower}, {upper}]")
-    found = _measured(frame, by).withColumn("_p", F.percentile("_x", [lower / 100, upper / 100]).over(_over(by)))
+    found = _measured(frame, by, {"_p": F.percentile("_x", [lower / 100, upper / 100])})
     clamped = F.greatest(F.least("_x", F.col("_p")[1]), F.col("_p")[0])
     moved = (F.col("_n") >= 2) & (F.col("status") == OK) & (clamped != F.col("_x"))
     notes = F.when(moved, F.concat("warnings", F.array(F.concat(F.lit(CLAMPED), F.format_string("%.6g", "_x"))))).otherwise(F.col("warnings"))
@@ -159,16 +167,15 @@ def winsorise(frame: DataFrame, by: Sequence[str] = (), *, lower: float, upper:
 @transform("zscore")
 def zscore(frame: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(value - mean) / sample deviation."""
-    found = _measured(frame, by)
-    z = (F.col("_x") - F.avg("_x").over(_over(by))) / F.nullif(F.stddev_samp("_x").over(_over(by)), F.lit(0.0))
-    return _standardised(found.withColumn("_z", z), F.col("_z"), "zscore", ["_z"])
+    found = _measured(frame, by, {"_m": F.avg("_x"), "_d": F.stddev_samp("_x")})
+    return _standardised(found, (F.col("_x") - F.col("_m")) / F.nullif(F.col("_d"), F.lit(0.0)), "zscore", ["_m", "_d"])
 
 
 @transform("zscore_robust")
 def zscore_robust(frame: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(value - median) / (1.4826 * median absolute deviation); a deviation of zero is not meaningful."""
-    found = _measured(frame, by).withColumn("_m", F.percentile("_x", 0.5).over(_over(by)))
-    found = found.withColumn("_d", F.percentile(F.abs(F.col("_x") - F.col("_m")), 0.5).over(_over(by)))
+    found = _measured(frame, by, {"_m": F.percentile("_x", 0.5)})
+    found = _beside(found, by, {"_d": F.percentile(F.abs(F.col("_x") - F.col("_m")), 0.5)})
     return _standardised(found, (F.col("_x") - F.col("_m")) / F.nullif(F.col("_d") * 1.4826, F.lit(0.0)), "zscore_robust", ["_m", "_d"])
 
 

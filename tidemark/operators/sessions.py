@@ -71,7 +71,7 @@ def listing_gaps(listings: DataFrame, bars: DataFrame, days: DataFrame) -> DataF
     span = days.agg(F.min("session").alias("_lo"), F.max("session").alias("_hi"))
     windows = listings.crossJoin(F.broadcast(span)).select("security_id", F.greatest("valid_from", "_lo").alias("_a"), F.least(F.coalesce(F.date_sub("valid_to", 1), F.col("_hi")), F.col("_hi")).alias("_z")).where("_a <= _z")
     numbered = days.select("session", F.row_number().over(Window.orderBy("session")).alias("_k"))  # a calendar is a short list
-    expected = windows.join(F.broadcast(numbered), F.col("session").between(F.col("_a"), F.col("_z"))).select("security_id", "session", "_k").distinct()
+    expected = windows.select("security_id", F.explode(F.sequence("_a", "_z")).alias("session")).distinct().join(F.broadcast(numbered), "session")
     lost = expected.join(bars.select("security_id", F.col("trade_date").alias("session")), ["security_id", "session"], "left_anti")
     island = F.col("_k") - F.row_number().over(Window.partitionBy("security_id").orderBy("_k"))
     return lost.withColumn("_i", island).groupBy("security_id", "_i").agg(F.min("session").alias("start"), F.max("session").alias("end"), F.count("*").alias("sessions")).drop("_i")

@@ -72,10 +72,11 @@ def checkpoint_gaps(spells: DataFrame, expected: DataFrame, on: Instant) -> Data
 
 def member_months(spells: DataFrame, bars: DataFrame, least: int = 15) -> DataFrame:
     """For each universe and month: members at its end, those with `least` bars in it, and the missing part in percent."""
-    span = spells.agg(F.min("valid_from").alias("lo"), F.max(F.coalesce("valid_to", "valid_from")).alias("hi"))
-    months = span.select(F.explode(F.sequence(F.last_day("lo"), F.last_day("hi"), F.expr("interval 1 month"))).alias("_d")).select(F.last_day("_d").alias("month_end"))
-    inside = (F.col("valid_from") <= F.col("month_end")) & F.coalesce(F.col("month_end") < F.col("valid_to"), F.lit(True))
-    expected = spells.join(F.broadcast(months), inside).select("universe", "security_id", "month_end").distinct()  # months: a row for each, however large the data
+    edge = spells.agg(F.max(F.coalesce("valid_to", "valid_from")).alias("_hi"))
+    # the months whose last day lies in the spell; one without an end runs to the latest day that any spell names
+    open_to = spells.crossJoin(F.broadcast(edge)).withColumns({"_a": F.trunc("valid_from", "month"), "_z": F.when(F.col("valid_to").isNull(), F.trunc("_hi", "month")).otherwise(F.add_months(F.trunc("valid_to", "month"), -1))})  # one row
+    each = F.explode(F.sequence("_a", "_z", F.expr("interval 1 month")))
+    expected = open_to.where("_a <= _z").select("universe", "security_id", each.alias("_d")).select("universe", "security_id", F.last_day("_d").alias("month_end")).distinct()
     seen = bars.groupBy("security_id", F.last_day("trade_date").alias("month_end")).agg(F.count("*").alias("bars"))
     joined = expected.join(seen, ["security_id", "month_end"], "left")
     found = joined.groupBy("universe", "month_end").agg(F.count("*").alias("expected"), F.count("bars").alias("resolved"), F.count_if(F.col("bars") >= least).alias("with_prices"))
