@@ -3,17 +3,20 @@ provider, entry, check, outcome (pass, fail, not_applicable, error) and a note."
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import relative_difference
+from tidemark.functions.values import plausible_time
 from tidemark.operators.temporal import asof_join
 
-PASS, FAIL, NOT_APPLICABLE = "pass", "fail", "not_applicable"
+PASS, FAIL, NOT_APPLICABLE, ERROR = "pass", "fail", "not_applicable", "error"
 CHECKS: dict[str, Callable[..., DataFrame]] = {}
 KEYS = ("provider", "entry")
+FINDING = (*KEYS, "check", "outcome", "note")
 
 
 def check(name: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
@@ -165,3 +168,57 @@ def ranked(scores: DataFrame, margin: float = 0.05) -> DataFrame:
     return out.withColumn("recommendation", F.when(F.col("barred"), "barred").when((F.col("rank") == 1) & (F.col("_lead") >= margin), "recommended").when(F.col("rank") == 1, "inconclusive").otherwise("not_first")).drop("_lead")
 
 
+def run_checks(checks: Mapping[str, Callable[[], DataFrame]], cells: DataFrame, root: str) -> DataFrame:
+    """The findings of all checks, each written below `root` by itself, so that one that raises loses no other's.
+
+    A check that raises, while its plan is made or while it runs, gives an error finding for every cell (provider,
+    entry) in place of its findings.
+    """
+    for name, run in checks.items():
+        path = f"{root}/{name}"
+        try:
+            run().select(*FINDING).write.mode("overwrite").parquet(path)
+        except (PySparkException, ValueError, KeyError, ArithmeticError) as lost:
+            failed = finding(cells.distinct(), name, F.lit(ERROR), F.lit(type(lost).__name__))
+            failed.write.mode("overwrite").parquet(path)
+    return cells.sparkSession.read.schema(", ".join(f"{c} string" for c in FINDING)).parquet(*[f"{root}/{name}" for name in checks])
+
+
+def append_cells(findings: DataFrame, path: str) -> None:
+    """Adds findings to a run's JSON lines."""
+    findings.write.mode("append").json(path)
+
+
+def completed_cells(spark: SparkSession, path: str) -> DataFrame:
+    """The cells (provider, entry, dataset) that a run's JSON lines hold already; none before the first write."""
+    fields = "provider string, entry string, dataset string"
+    try:
+        return spark.read.schema(fields).json(path).distinct()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], fields)
+
+
+def entry_faults(entries: DataFrame) -> DataFrame:
+    """(entry, place, fault) of a list of entries (place, entry) that isn't coherent: a key that is there twice, or one
+    that sorts before the key at the place before it. The list is one file's, so one window holds it."""
+    turn = Window.orderBy("place")
+    twice = F.row_number().over(Window.partitionBy("entry").orderBy("place")) > 1
+    marked = entries.withColumn("fault", F.when(twice, "duplicate").when(F.col("entry") < F.lag("entry").over(turn), "unsorted"))
+    return marked.where("fault IS NOT NULL").select("entry", "place", "fault")
+
+
+def derived_availability(statements: DataFrame, lags: Mapping[tuple[str, str], int], today: str) -> DataFrame:
+    """statements (market, period_type, period_end, filed_on) with available_on, imputed and rule.
+
+    A plausible filing day counts as it is. Otherwise the period's end plus the days assumed for the market and type, by
+    a rule that is named; without a period's end nothing is derived.
+    """
+    end, filed = F.col("period_end"), F.col("filed_on")
+    usable = F.coalesce(plausible_time(filed, end, F.lit(today).cast("date")), F.lit(False))
+    days = F.coalesce(*[F.when((F.col("market") == m) & (F.col("period_type") == p), F.lit(n)) for (m, p), n in lags.items()])
+    rule = F.concat("market", F.lit("-"), "period_type", F.lit("-lag-"), days.cast("string"), F.lit("d"))
+    return statements.withColumns({
+        "available_on": F.when(usable, filed).otherwise(F.date_add(end, days)), "imputed": ~usable, "rule": F.when(~usable & end.isNotNull(), rule),
+    })

@@ -135,13 +135,14 @@ def manifest_difference(a: Mapping[str, str], b: Mapping[str, str]) -> dict[str,
 
 
 def html_report(title: str, tables: Mapping[str, DataFrame], most: int = 200) -> str:
-    """A page with the first `most` rows of small result tables."""
+    """A page with the first `most` rows of result tables; a table that has more says so."""
     import html
 
     parts = [f"<!DOCTYPE html><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>"]
     for name, df in tables.items():
-        rows = df.limit(most).collect()
+        rows = df.limit(most + 1).collect()
+        more = f"<p>Only the first {most} rows are shown.</p>" if len(rows) > most else ""
         head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
-        body = "".join("<tr>" + "".join(f"<td>{html.escape('' if x is None else f'{x:.6g}' if isinstance(x, float) else str(x))}</td>" for x in r) + "</tr>" for r in rows)
-        parts.append(f"<h2>{html.escape(name)}</h2><table><tr>{head}</tr>{body}</table>")
+        body = "".join("<tr>" + "".join(f"<td>{html.escape('' if x is None else f'{x:.6g}' if isinstance(x, float) else str(x))}</td>" for x in r) + "</tr>" for r in rows[:most])
+        parts.append(f"<h2>{html.escape(name)}</h2><table><tr>{head}</tr>{body}</table>{more}")
     return "\n".join(parts)

@@ -13,8 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.values import unit_factor
 from tidemark.operators.sessions import sessions_between
-from tidemark.operators.temporal import asof_join
+from tidemark.operators.temporal import Instant, asof_join, column
 
 OK, NO_DATA, INSUFFICIENT, NOT_MEANINGFUL, NO_PROCEEDS = "ok", "no_data", "insufficient_data", "not_meaningful", "delisted_no_proceeds"
 #: Most calendar days between a window's end and the bar that stands for it; least part of its sessions with a bar.
@@ -75,6 +76,28 @@ def window_return(ends: DataFrame, series: DataFrame, months: int, skip: int = 0
     return out.select("security_id", "end", "status", F.when(F.col("status") == OK, F.col("finish_value") / F.col("start_value") - 1).alias("value"), F.array().cast(NOTES).alias("warnings"), "start_bar", F.col("finish").alias("end_bar"), "used_proceeds")
 
 
+def quote_units(bars: DataFrame) -> DataFrame:
+    """(security_id, unit, warning): the unit of a security's first bar, and a warning if others occur."""
+    found = bars.groupBy("security_id").agg(F.min_by("currency", "trade_date").alias("unit"), F.array_sort(F.collect_set("currency")).alias("_all"))
+    return found.select("security_id", "unit", F.when(F.size("_all") > 1, F.concat(F.lit("several quote units: "), F.array_join("_all", ", "))).alias("warning"))
+
+
+def action_proceeds(actions: DataFrame, units: DataFrame, known: Instant) -> DataFrame:
+    """(security_id, event_date, proceeds, warning) of securities that ended, as known at an instant.
+
+    The last merger with cash terms counts, in the security's quote unit (null with a warning where the currency is
+    another's); otherwise the first delisting, worth 0 after a failure and unknown after any other reason.
+    """
+    paid = (F.col("action_type") == "merger") & F.col("amount").isNotNull()
+    rows = actions.where((F.col("available_on") <= column(known)) & (paid | (F.col("action_type") == "delisting"))).withColumn("_paid", paid)
+    order = Window.partitionBy("security_id").orderBy(F.desc("_paid"), F.when(paid, F.col("action_id")).desc(), "action_id")
+    chosen = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").join(units.select("security_id", "unit"), "security_id", "left")
+    cash = F.col("amount") * unit_factor(F.col("currency"), F.col("unit"))
+    lost = F.concat("currency", F.lit(" isn't convertible to "), F.coalesce("unit", F.lit("an unknown unit")))
+    value = F.when(F.col("_paid"), cash).when(F.col("reason") == "failure", F.lit(0.0))
+    return chosen.select("security_id", F.col("ex_date").alias("event_date"), value.cast("double").alias("proceeds"), F.when(F.col("_paid") & cash.isNull(), lost).alias("warning"))
+
+
 def return_over_volatility(returns: DataFrame, dispersion: DataFrame, least: int = 20, floor: float = 1e-6) -> DataFrame:
     """Window returns divided by the annualised deviation of the window's daily returns (security_id, end, n, sd)."""
     joined = returns.join(dispersion, ["security_id", "end"], "left")

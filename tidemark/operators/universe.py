@@ -56,6 +56,23 @@ def replay(events: DataFrame) -> DataFrame:
     return marked.where((F.col("change") == "added") | F.col("fault").isNotNull()).select("universe", "security_id", F.col("effective").alias("valid_from"), F.when(F.col("change") == "added", F.col("valid_to")).alias("valid_to"), "fault")
 
 
+def corrected(events: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, faults) after corrections (correction, universe, effective, name, new_effective, reason) of events
+    (universe, effective, name, change, notes).
+
+    A correction must meet exactly one event by universe, day and name; it moves that event to new_effective and adds
+    its reason to the notes. One that meets none or several changes nothing and is a fault, with its number of hits.
+    """
+    by = ["universe", "effective", "name"]
+    found = events.groupBy(*by).agg(F.count("*").alias("_hits"))
+    met = corrections.join(found, by, "left").withColumn("hits", F.coalesce("_hits", F.lit(0)))
+    once = met.where("hits = 1").select(*by, "new_effective", "reason")
+    joined = events.join(once, by, "left")
+    notes = F.when(F.col("reason").isNull(), F.col("notes")).otherwise(F.concat_ws(" ", F.nullif("notes", F.lit("")), F.concat(F.lit("[corrected: "), "reason", F.lit("]"))))
+    fixed = joined.select("universe", F.coalesce("new_effective", "effective").alias("effective"), "name", "change", notes.alias("notes"))
+    return fixed, met.where("hits <> 1").select("correction", "hits")
+
+
 def sizes(events: DataFrame) -> DataFrame:
     """A universe's number of members after each day with changes."""
     step = F.sum(F.when(F.col("change") == "added", 1).otherwise(-1)).alias("step")

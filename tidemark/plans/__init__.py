@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 from types import ModuleType
 
-MODULES = ("temporal", "prices", "metrics", "records", "factors", "master", "sources", "checks", "market", "rest", "kept")
+MODULES = ("temporal", "prices", "metrics", "records", "factors", "master", "sources", "checks", "market", "rest", "kept", "harness")
 
 
 def load() -> ModuleType:

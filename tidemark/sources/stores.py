@@ -215,6 +215,13 @@ def load_actions(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return found
 
 
+def load_delistings(spark: SparkSession, path: str) -> DataFrame:
+    """Ended securities of a table as actions; no actions where there is no table."""
+    fields = "security_id string, ex_date date, last_trading_date date, reason string, available_at timestamp, source string"
+    held = optional_table(spark, path, fields)
+    return held.select("*", F.lit("delisting").alias("action_type"), F.lit(True).alias("available_at_imputed"))
+
+
 def optional_table(spark: SparkSession, path: str, fields: str) -> DataFrame:
     """A table, or an empty one with its schema where there is none."""
     held = stored(spark, path, fields)
