@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import near
 
@@ -92,4 +93,14 @@ def test_bitmaps_never_exceed_the_difference():
 def test_one_of_each_keeps_the_smallest(spark):
     text = " ".join(f"w{k}" for k in range(40))
     rows = [(3, text, None, None, None), (1, text + " x", None, None, None), (2, "other words stand here alone", None, None, None), (None, text, None, None, None), (2, "other words stand here alone", None, None, None)]
-    assert sorted((r.doc_id is None, r.doc_id) for r in near.one_of_each(spark.createDataFrame(rows, FIELDS)).collect()) == [(False, 1), (False, 2), (True, None)]
+    assert sorted(r.doc_id for r in near.one_of_each(spark.createDataFrame(rows, FIELDS)).collect()) == [1, 2]
+
+
+def test_one_of_each_takes_rows_that_repeat_an_id_by_their_texts(spark):
+    text, own, lost = (" ".join(f"{c}{k}" for k in range(40)) for c in "abc")
+    rows = [(1, text, "x", None, 1), (7, text + " end", "x", None, 2), (7, own, "x", None, 3), (None, lost, "x", None, 4), (None, lost + " end", "x", None, 5)]
+    rows += [(8, None, "x", None, 6), (8, None, None, "x", 6), (None, "", None, None, 7), (None, None, None, None, 7), (None, None, None, None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, `row_key` string, `a.b` int").withColumn("m", F.create_map(F.lit("k"), "lang"))
+    got = [tuple(r)[:2] for r in near.one_of_each(docs).collect()]
+    assert len(got) == 7 and got.count((8, None)) == 2 and got.count((None, None)) == 1 and (None, "") in got
+    assert {(1, text), (7, own)} <= set(got) and sum(t in (lost, lost + " end") for _, t in got) == 1

@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import MADE, bounded_batches, discard, release, stored
@@ -453,13 +453,30 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return linked.unionByName(of.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A 64-bit hash of all columns of a row, so that only equal rows share a key (but for collisions of the hash)."""
+    parts = []
+    for field in docs.schema:
+        value = F.col(f"`{field.name.replace('`', '``')}`")
+        # maps have no hash, and a null leaves the hash as it was
+        parts += [value.isNull(), F.to_json(F.struct(value)) if "map<" in field.dataType.simpleString() else value]
+    return F.xxhash64(*parts)
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id is the smallest of their component, all columns as they were.
+    """One document of each component, all columns as they were.
 
-    Of rows that repeat a doc_id one stays. A row without an id can't be named as a copy: it stays, equal ones once. A
-    null or empty text links with nothing, so it stays. Further columns may have any name; an empty table stays empty.
+    Rows are documents by all of their columns: equal rows count once, and rows that repeat a doc_id with other texts
+    are documents of their own. The one with the smallest doc_id stays, one without an id only if all lack it, and of
+    equal ids the one with the smallest hash, so reruns agree. A null or empty text links with nothing, so it stays.
+    Further columns may have any name; an empty table stays empty.
     """
-    named = docs.where(F.col("doc_id").isNotNull())
-    found = near_duplicates(named.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = named.join(found, named["doc_id"] == found["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates())
+    name = "row_key"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    keyed = docs.withColumn(name, row_key(docs))
+    found = near_duplicates(keyed, id_col=name).select(F.col("doc_id").alias(name), "component_id").distinct()
+    ids = keyed.select(name, "doc_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), F.col("doc_id").alias("doc_id"), F.col(name).alias("key")))
+    kept = ids.join(found, name).groupBy("component_id").agg(first.alias("first")).select(F.col("first.key").alias(name))
+    return keyed.join(kept, name, "left_semi").dropDuplicates([name]).drop(name)
