@@ -33,8 +33,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: of each group of near duplicates the document with the smallest id stays.
 
-    Of rows that repeat an id one stays. A row with a null id stays, equal ones once. Null and empty texts link with
-    nothing and stay.
+    Equal rows count once; rows that repeat an id with other texts are documents of their own. A row with a null id stays
+    only where its group has no other. Null and empty texts link with nothing and stay.
     """
     return near.one_of_each(docs)
 
