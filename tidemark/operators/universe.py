@@ -56,6 +56,29 @@ def replay(events: DataFrame) -> DataFrame:
     return marked.where((F.col("change") == "added") | F.col("fault").isNotNull()).select("universe", "security_id", F.col("effective").alias("valid_from"), F.when(F.col("change") == "added", F.col("valid_to")).alias("valid_to"), "fault")
 
 
+def reverse_replay(events: DataFrame, anchor: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(start, days) of a history walked backwards from its end's members, anchor (universe, security_id).
+
+    start: (universe, security_id) before the first change. days: (universe, effective, members, faults): the members
+    before each day with changes, and its changes that don't fit what follows: an addition of a name that isn't there
+    afterwards, or a removal of one that is. Of a day's changes of one name the removal comes first.
+    """
+    key = ["universe", "security_id"]
+    turn = Window.partitionBy(*key).orderBy("effective", F.desc("change"))
+    ends = anchor.select(*key).distinct().withColumn("_end", F.lit(1))
+    after = F.when(F.col("_next").isNull(), F.col("_end").isNotNull()).otherwise(F.col("_next") == "removed")
+    # what follows a change says who is there after it; the change itself says who was there before
+    marked = events.withColumns({"_next": F.lead("change").over(turn), "_n": F.row_number().over(turn)}).join(ends, key, "left").withColumns({"_after": after, "_before": F.col("change") == "removed"})
+    fits = F.col("_after") != F.col("_before")
+    by_day = marked.groupBy("universe", "effective").agg(F.sum(F.col("_before").cast("int") - F.col("_after").cast("int")).alias("_step"), F.count_if(~fits).alias("faults"))
+    back = Window.partitionBy("universe").orderBy(F.desc("effective")).rowsBetween(Window.unboundedPreceding, 0)
+    sizes_at_end = ends.groupBy("universe").agg(F.count("*").alias("_size"))
+    days = by_day.join(sizes_at_end, "universe", "left").withColumn("members", F.coalesce("_size", F.lit(0)) + F.sum("_step").over(back))
+    first = marked.where((F.col("_n") == 1) & F.col("_before")).select(*key)
+    start = first.unionByName(ends.select(*key).join(events.select(*key).distinct(), key, "left_anti"))
+    return start, days.select("universe", "effective", "members", "faults")
+
+
 def corrected(events: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events, faults) after corrections (correction, universe, effective, name, new_effective, reason) of events
     (universe, effective, name, change, notes).

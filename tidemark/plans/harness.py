@@ -15,6 +15,7 @@ from tidemark.plans.checks import PROVIDER, keyed
 from tidemark.plans.fixtures import ACTIONS, BARS, actions, bars, table, with_tables
 from tidemark.plans.kept import refused
 from tidemark.plans.market import all_kinds
+from tidemark.plans.records import CHANGES, change_events
 from tidemark.plans.registry import query
 from tidemark.plans.rest import scratch
 from tidemark.sources import payloads, stores
@@ -109,6 +110,40 @@ def z21_one_match_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("universe", "effective", "name", "notes", F.lit(0).alias("hits")).unionByName(lost)
 
 
+BACKWARDS = CHANGES + """, e AS (SELECT * FROM ev WHERE NOT (security_id % 4 = 0 AND change = 'added')), an AS (SELECT DISTINCT universe, security_id FROM one WHERE security_id % 3 = 0),
+names AS (SELECT universe, security_id FROM e UNION SELECT universe, security_id FROM an)"""
+
+
+def backwards(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Changes of membership without some additions, walked back from every third name."""
+    events = change_events(spark, sf_dir)
+    anchor = events.where("security_id % 3 = 0").select("universe", "security_id")
+    return universe.reverse_replay(events.where("NOT (security_id % 4 = 0 AND change = 'added')"), anchor)
+
+
+@query(
+    BACKWARDS
+    + """, f AS (SELECT n.universe, n.security_id, arg_min(change, (effective, CASE change WHEN 'removed' THEN 0 ELSE 1 END)) AS first FROM names n LEFT JOIN e USING (universe, security_id) GROUP BY ALL)
+SELECT universe, security_id FROM f LEFT JOIN (SELECT *, true AS held FROM an) USING (universe, security_id) WHERE first = 'removed' OR (first IS NULL AND held)"""
+)
+def x7_reverse_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members at the start of a history that is known by its end."""
+    return backwards(spark, sf_dir)[0]
+
+
+@query(
+    BACKWARDS
+    + """, d AS (SELECT DISTINCT universe, effective FROM e),
+f AS (SELECT d.universe, d.effective, n.security_id, arg_min(e.change, (e.effective, CASE e.change WHEN 'removed' THEN 0 ELSE 1 END)) AS first FROM d JOIN names n USING (universe) LEFT JOIN e ON e.universe = d.universe AND e.security_id = n.security_id AND e.effective >= d.effective GROUP BY ALL),
+m AS (SELECT universe, effective, count(*) FILTER (first = 'removed' OR (first IS NULL AND held)) AS members FROM f LEFT JOIN (SELECT *, true AS held FROM an) USING (universe, security_id) GROUP BY ALL),
+x AS (SELECT e.universe, e.effective, e.change, coalesce(lead(change) OVER (PARTITION BY universe, security_id ORDER BY effective, change DESC), CASE WHEN held THEN 'removed' ELSE 'added' END) AS follows FROM e LEFT JOIN (SELECT *, true AS held FROM an) USING (universe, security_id))
+SELECT universe, effective, members, faults FROM m JOIN (SELECT universe, effective, count(*) FILTER (change = follows) AS faults FROM x GROUP BY ALL) USING (universe, effective)"""
+)
+def x7_reverse_replay_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of members before each day with changes, and the changes that don't fit what follows."""
+    return backwards(spark, sf_dir)[1]
+
+
 ENDED = """ended AS (SELECT security_id, 'merger' AS kind, max(close) AS amount FROM bars WHERE security_id % 10 = 2 GROUP BY 1
   UNION ALL SELECT DISTINCT security_id, CASE security_id % 10 WHEN 0 THEN 'failure' ELSE 'other' END, NULL::DOUBLE FROM bars WHERE security_id % 10 < 3)"""
 
@@ -248,7 +283,7 @@ def z15_benchmark_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT * FROM (VALUES ('ledger', 'commission_bps', 2.0), ('ledger', 'commission_min', 500.0), ('ledger', 'spread_bps', 10.0), ('ledger', 'stamp_bps', 50.0), ('ledger', 'impact_bps', 25.0),
+    """SELECT kind, name, value::DOUBLE AS value FROM (VALUES ('ledger', 'commission_bps', 2.0), ('ledger', 'commission_min', 500.0), ('ledger', 'spread_bps', 10.0), ('ledger', 'stamp_bps', 50.0), ('ledger', 'impact_bps', 25.0),
  ('plans', 'commission_bps', 2.0), ('plans', 'commission_min', 500.0), ('plans', 'spread_bps', 10.0), ('plans', 'stamp_bps', 50.0), ('plans', 'impact_bps', 25.0)) AS t(kind, name, value)"""
 )
 def z9_cost_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,7 +293,7 @@ def z9_cost_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, name string, value double")
 
 
-@query("SELECT * FROM (VALUES ('extreme_moves.threshold', 0.5), ('stale_runs.least', 5.0), ('low_volume_runs.least', 1.0), ('volume_outliers.times', 20.0), ('volume_outliers.window', 21.0), ('volume_outliers.least', 10.0)) AS t(name, value)")
+@query("SELECT name, value::DOUBLE AS value FROM (VALUES ('extreme_moves.threshold', 0.5), ('stale_runs.least', 5.0), ('low_volume_runs.least', 1.0), ('volume_outliers.times', 20.0), ('volume_outliers.window', 21.0), ('volume_outliers.least', 10.0)) AS t(name, value)")
 def z29_validation_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The thresholds that checks of bars assume if none are given."""
     rows = [
