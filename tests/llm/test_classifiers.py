@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -109,3 +110,38 @@ def test_convolution_sees_whole_texts():
     alone = np.concatenate([toxicity.score_texts(net, [t], toxicity.Rows()) for t in texts])
     assert np.allclose(together, alone, atol=1e-6)
     assert together[-1] > 0.5 and together[-2] > 0.5
+
+
+def test_fit_never_holds_the_words_of_its_sample(monkeypatch):
+    """Beyond its networks, the fit takes a few bytes for each word of the sample, not an object for each."""
+    chance = random.Random(4)
+    words = ["".join(chance.choice("aeiourstln") for _ in range(8)) for _ in range(3000)]
+    sample = [(" ".join(chance.choices(words, k=4000)) + " scum" * (i % 2), i % 2) for i in range(300)]
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    tracemalloc.start()
+    assert toxicity.fit(sample) is not None
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 100e6, peak
+
+
+def test_blocks_of_places_leave_the_network_as_it_is(monkeypatch):
+    docs, labels = corpus(3, 120)
+    sample = [(d[1], t[2]) for d, t in zip(docs, labels, strict=False)] + [("", 0), ("scum " * 300, 1), ("ab " * 300, 0)]
+    texts = [t for t, _ in sample]
+    nets = []
+    for at_once, remembered in ((1 << 17, 1 << 18), (64, 50)):
+        monkeypatch.setattr(toxicity, "AT_ONCE", at_once)
+        monkeypatch.setattr(toxicity, "REMEMBERED", remembered)
+        nets.append(toxicity.fit(iter(sample)))
+    whole, blocks = nets
+    assert np.array_equal(whole.rows, blocks.rows) and all(map(np.array_equal, whole.filters, blocks.filters))
+    assert (whole.bias, whole.threshold, whole.thresholds) == (blocks.bias, blocks.threshold, blocks.thresholds)
+    assert np.allclose(toxicity.score_texts(whole, texts, toxicity.Rows()), toxicity.score_texts(blocks, texts, toxicity.Rows()), atol=1e-6)
+
+
+def test_streamed_sample_is_the_labelled_sample(tables):
+    docs, labels, _, _ = tables
+    for bounds in ({}, {"per_class": 20}, {"most_bytes": 2000}):
+        assert list(sampling.streamed_sample(docs, labels, "toxic", **bounds)) == sampling.labelled_sample(docs, labels, "toxic", **bounds)
+    assert list(sampling.streamed_sample(docs, labels.limit(0), "toxic")) == []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,16 +18,17 @@ def is_held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
 
 
-def labelled_sample(
+def sample_rows(
     docs: DataFrame, labels: DataFrame, label: str, *, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, most_bytes: int = MOST_BYTES
-) -> list[tuple[str, int]]:
-    """(text, label) of at most `per_class` rows of label 0 and as many of label 1, none of them held out.
+) -> DataFrame | None:
+    """turn, doc_id, label and text of at most `per_class` rows of label 0 and as many of label 1, none of them held out.
 
     The rows with the smallest hashes of their ids are taken, in that order, so a rerun fits on the same rows. A class
     ends with the text that brings its total to `most_bytes`; whether a text is taken depends on the lengths of those
     before it, not on its own, and a class with texts is never empty. Only the chosen ids, at most twice `per_class`, are
     sent to the documents: first for the lengths, then for the texts. Null labels and ids fall out, and ids that are
     labelled both 0 and 1. Of rows that repeat an id one text counts, the greatest, and the longest for the total.
+    None if there are no such rows.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~is_held_out(F.col("doc_id")))
@@ -40,7 +43,20 @@ def labelled_sample(
             taken.append((turn, doc_id, y))
         total[y] += size
     if not taken:
-        return []
+        return None
     kept = docs.sparkSession.createDataFrame(taken, chosen.select("turn", "doc_id", "label").schema)
-    rows = texts.join(F.broadcast(kept), "doc_id").groupBy("turn", "doc_id", "label").agg(F.max("text").alias("text")).collect()
-    return [(t, y) for _, _, y, t in sorted(rows)]
+    return texts.join(F.broadcast(kept), "doc_id").groupBy("turn", "doc_id", "label").agg(F.max("text").alias("text"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, **bounds) -> list[tuple[str, int]]:  # noqa: ANN003
+    """(text, label) of sample_rows(), in the order of turn, doc_id and label."""
+    rows = sample_rows(docs, labels, label, **bounds)
+    return [] if rows is None else [(t, y) for _, _, y, t in sorted(rows.collect())]
+
+
+def streamed_sample(docs: DataFrame, labels: DataFrame, label: str, **bounds) -> Iterator[tuple[str, int]]:  # noqa: ANN003
+    """labelled_sample() one by one: the driver holds the texts of one partition at a time."""
+    rows = sample_rows(docs, labels, label, **bounds)
+    if rows is not None:
+        for row in rows.orderBy("turn", "doc_id", "label").select("text", "label").toLocalIterator():
+            yield row[0], row[1]

@@ -12,7 +12,8 @@ lies at 0.5.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_batches
-from tidemark.llm.sampling import MOST_BYTES, PER_CLASS, is_held_out, labelled_sample
+from tidemark.llm.sampling import MOST_BYTES, PER_CLASS, is_held_out, streamed_sample
 
 WORDS = re.compile(r"\w+")
 ROW_BITS, SIZE, FILTERS, WIDTHS = 18, 8, 8, (1, 2, 3)
@@ -33,7 +34,8 @@ EPOCHS, BATCH, RATE, CLEAN_WEIGHT = 6, 32, 0.1, 2.0
 LEFT_OUT, ROW_PULL, FILTER_PULL = 0.5, 1e-3, 1e-4
 #: Texts of a class that a language needs among the calibration texts for a threshold of its own; else the common one.
 LEAST_OF_CLASS = 10
-#: Words that are remembered with their rows, and the words and texts that are scored at once.
+#: Words that are remembered with their rows, and the words and texts that are scored at once. Filters have values for
+#: AT_ONCE places at a time, in a longer text too.
 REMEMBERED, AT_ONCE, TEXTS_AT_ONCE = 1 << 18, 1 << 17, 512
 
 #: Letters that tell languages apart.
@@ -53,15 +55,41 @@ def language(lowered: str) -> str:
     return max(counts, key=lambda k: (counts[k], k))
 
 
+def hashes(word: str) -> list[int]:
+    """The hashes of a word and of its stems."""
+    parts = ["=" + word, *(word[:n] if len(word) > n else f"{n}{word}" for n in STEMS)]
+    return [xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass")) for p in parts]
+
+
+def rows_of(found: list[int]) -> tuple[int, ...]:
+    """The rows of hashes; the first row belongs to padding."""
+    return tuple(1 + h % ((1 << ROW_BITS) - 1) for h in found)
+
+
 class Rows(dict):
-    """The rows of a word and of its stems; the first row belongs to padding."""
+    """The rows of a word and of its stems."""
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        parts = ["=" + word, *(word[:n] if len(word) > n else f"{n}{word}" for n in STEMS)]
-        self[word] = found = tuple(1 + xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass")) % ((1 << ROW_BITS) - 1) for p in parts)
+        self[word] = found = rows_of(hashes(word))
         return found
 
 
+class Notes(dict):
+    """The note of a word: a hash and rows, noted when the word comes up and again if it has been forgotten."""
+
+    def __init__(self) -> None:
+        self.hashes, self.rows = array("Q"), array("i")
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = hashes(word)
+        self[word] = note = len(self.hashes)
+        self.hashes.append(found[0])
+        self.rows.extend(rows_of(found))
+        return note
+
+
 @dataclass
 class Net:
     rows: np.ndarray
@@ -86,7 +114,7 @@ class Texts:
         # dense: the texts use most words of the table, so that it is embedded whole
         parts = [np.append(t, PADS) if len(t) else np.array([0, *PADS]) for t in texts]
         lengths = np.array([len(p) for p in parts])
-        self.words, self.table, self.dense = np.concatenate(parts).astype(np.int64), table, dense
+        self.words, self.table, self.dense = np.concatenate(parts).astype(np.int32), table, dense
         self.starts = np.cumsum(lengths) - lengths
         self.ends = self.starts + lengths - len(PADS)
         # where no filter may start: on padding it would reach into the next text
@@ -105,31 +133,95 @@ def numbered(texts: list[list[str]], rows: Rows) -> tuple[list[np.ndarray], np.n
     return found, np.array([(0,) * (len(STEMS) + 1), *(rows[w] for w in numbers)], np.int64)
 
 
+def gathered(sample: Iterable[tuple[str, int]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The texts of a sample as numbers of distinct words, the table of the words' rows, the labels and the languages.
+
+    A text is let go once its words are hashed, and no list of its words is made; a number takes four bytes.
+    """
+    notes, found, labels, langs = Notes(), [], [], []
+    for text, y in sample:
+        lowered = text.lower()
+        found.append(np.fromiter(map(notes.__getitem__, map(re.Match.group, WORDS.finditer(lowered))), np.int32))
+        labels.append(y)
+        langs.append(language(lowered))
+    # a word's notes share its hash; words are numbered from 1 by their first notes
+    _, first, same = np.unique(np.array(notes.hashes), return_index=True, return_inverse=True)
+    order = np.sort(first)
+    number = (np.searchsorted(order, first) + 1).astype(np.int32)[same]
+    for i, own in enumerate(found):
+        found[i] = number[own]
+    table = np.zeros((len(order) + 1, len(STEMS) + 1), np.int32)
+    table[1:] = np.array(notes.rows).reshape(-1, len(STEMS) + 1)[order]
+    return found, table, np.array(labels, float), np.array(langs)
+
+
 @dataclass
 class Pass:
-    """A forward pass: the distinct words, each place's distinct word, their embeddings, all filter values by width, and
-    for each text the largest value of every filter, before the rectifier."""
+    """A forward pass: the distinct words, each place's distinct word, their embeddings, for each text the largest value of
+    every filter, before the rectifier, and, if asked for, the place of that value by width."""
 
     distinct: np.ndarray
     place: np.ndarray
     embedded: np.ndarray
-    values: list[np.ndarray]
     tops: np.ndarray
+    won: list[np.ndarray]
 
 
-def forward(net: Net, texts: Texts) -> Pass:
-    distinct, place = (np.arange(len(texts.table)), texts.words) if texts.dense else np.unique(texts.words, return_inverse=True)
-    embedded = net.rows[texts.table[distinct]].sum(1)
+def embeddings(net: Net, table: np.ndarray) -> np.ndarray:
+    """The sums of the rows of each line of the table, AT_ONCE lines at a time."""
+    out = np.empty((len(table), SIZE), net.rows.dtype)
+    for low in range(0, len(table), AT_ONCE):
+        out[low : low + AT_ONCE] = net.rows[table[low : low + AT_ONCE]].sum(1)
+    return out
+
+
+def pooled(parts: list[np.ndarray], place: np.ndarray, texts: Texts, top: np.ndarray, won: np.ndarray | None) -> None:
+    """Puts each text's largest value of every filter of a width into top, and the first place of that value into won.
+
+    parts: each distinct word's share in a value, by its position under the filter. The values of AT_ONCE places exist
+    at a time, however long a text is.
+    """
+    every = np.arange(FILTERS)
+    for low in range(0, len(place), AT_ONCE):
+        high = min(low + AT_ONCE, len(place))
+        total = parts[0][place[low:high]]
+        for o in range(1, len(parts)):
+            ahead = parts[o][place[low + o : high + o]]
+            total[: len(ahead)] += ahead
+        begin, end = np.searchsorted(texts.uncounted, (low, high))
+        total[texts.uncounted[begin:end] - low] = -np.inf
+        first, last = np.searchsorted(texts.starts, low, "right") - 1, np.searchsorted(texts.starts, high)
+        if won is None:
+            at = np.maximum(texts.starts[first:last], low) - low
+            np.maximum(top[first:last], np.maximum.reduceat(total, at, axis=0), out=top[first:last])
+            continue
+        for k in range(first, last):
+            a, b = max(texts.starts[k], low), min(texts.ends[k], high)
+            if a < b:
+                best = total[a - low : b - low].argmax(0)
+                value = total[a - low + best, every]
+                if a > texts.starts[k]:  # the text began in an earlier block
+                    kept = value <= top[k]
+                    best, value = np.where(kept, won[k] - a, best), np.where(kept, top[k], value)
+                won[k], top[k] = a + best, value
+
+
+def forward(net: Net, texts: Texts, places: bool = False) -> Pass:
+    if texts.dense:
+        distinct, place = np.arange(len(texts.table)), texts.words
+    else:
+        used = np.zeros(len(texts.table), bool)
+        used[texts.words] = True
+        distinct, place = np.flatnonzero(used), (np.cumsum(used, dtype=np.int32) - np.int32(1))[texts.words]
+    embedded = embeddings(net, texts.table[distinct])
     embedded[distinct == 0] = 0
-    values = []
-    for width, weights in zip(WIDTHS, net.filters, strict=True):
-        total = (embedded @ weights[0])[place]
-        for o in range(1, width):
-            total = total[: len(total) - 1] + (embedded @ weights[o])[place][o:]
-        total[texts.uncounted[texts.uncounted < len(total)]] = -np.inf
-        values.append(total)
-    tops = np.concatenate([np.maximum.reduceat(v, texts.starts, axis=0) for v in values], axis=1) + net.offsets
-    return Pass(distinct, place, embedded, values, tops)
+    tops, won = [], []
+    for weights in net.filters:
+        parts = [embedded @ w for w in weights]
+        tops.append(np.full((len(texts.starts), FILTERS), -np.inf, parts[0].dtype))
+        won += [np.zeros((len(texts.starts), FILTERS), np.int64)] if places else []
+        pooled(parts, place, texts, tops[-1], won[-1] if places else None)
+    return Pass(distinct, place, embedded, np.concatenate(tops, axis=1) + net.offsets, won)
 
 
 def logits(net: Net, texts: Texts) -> np.ndarray:
@@ -155,17 +247,16 @@ class Steps:
         self.filters = [np.full_like(f, 1e-2) for f in net.filters]
 
     def take(self, batch: Texts, y: np.ndarray) -> None:
-        net, seen = self.net, forward(self.net, batch)
+        net, seen = self.net, forward(self.net, batch, places=True)
         lifted = np.maximum(seen.tops, 0)
         p = 1 / (1 + np.exp(-np.clip(lifted @ net.out + net.bias, -30, 30)))
         error = (p - y) * self.weight[y.astype(int)] / len(y)
         back = np.outer(error, net.out) * (seen.tops > 0)
         moved = np.zeros_like(seen.embedded)
         for k, (width, weights) in enumerate(zip(WIDTHS, net.filters, strict=True)):
-            won = np.array([a + seen.values[k][a:b].argmax(0) for a, b in zip(batch.starts, batch.ends, strict=True)])
             own, change = back[:, k * FILTERS : (k + 1) * FILTERS], FILTER_PULL * weights
             for o in range(width):
-                words = seen.place[np.minimum(won + o, len(seen.place) - 1)]
+                words = seen.place[np.minimum(seen.won[k] + o, len(seen.place) - 1)]
                 change[o] += np.einsum("nfs,nf->sf", seen.embedded[words], own)
                 np.add.at(moved, words, own[:, :, None] * weights[o].T[None])
             self.filters[k] += change**2
@@ -221,19 +312,17 @@ def best_threshold(z: np.ndarray, y: np.ndarray) -> float:
     return float(middles[right >= right.max() - 1e-12].mean())
 
 
-def fit(sample: list[tuple[str, int]]) -> Net | None:
-    """The network of a labelled sample; None with one class or none."""
-    labels = np.array([y for _, y in sample], float)
+def fit(sample: Iterable[tuple[str, int]]) -> Net | None:
+    """The network of a labelled sample, which is read once; None with one class or none."""
+    texts, table, labels, langs = gathered(sample)
     if not len(labels) or labels.min() == labels.max():
         return None
-    lowered = [t.lower() for t, _ in sample]
-    texts, table = numbered([WORDS.findall(t) for t in lowered], Rows())
     checked = np.arange(len(texts)) % 5 == 4
     if len(np.unique(labels[checked])) < 2 or len(np.unique(labels[~checked])) < 2:
         checked[:] = False
     net, z = train(texts, table, labels, checked)
     held = np.flatnonzero(checked) if checked.any() else np.arange(len(texts))
-    y, langs = labels[held], np.array([language(lowered[i]) for i in held])
+    y, langs = labels[held], langs[held]
     net.threshold = best_threshold(z, y)
     for lang in np.unique(langs):
         own = langs == lang
@@ -282,7 +371,7 @@ def score_toxicity(
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    net = spark.sparkContext.broadcast(fit(labelled_sample(docs, labels, label, id_col=id_col, text_col=text_col, per_class=per_class, most_bytes=most_bytes)))
+    net = spark.sparkContext.broadcast(fit(streamed_sample(docs, labels, label, id_col=id_col, text_col=text_col, per_class=per_class, most_bytes=most_bytes)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = Rows()
